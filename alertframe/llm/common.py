@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word separator run and "has a word", as Java and RE2 regexes alike.
 WS = r"[\x20\x09-\x0D]+"
 NOT_WS = r"[^\x20\x09-\x0D]"
@@ -59,6 +61,7 @@ def write_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 
 def id_text(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id and text alone (null text: empty), so that extra columns can't clash with computed ones."""
+    ship(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import binary_output, line_dedup, packing, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES |= {"op2_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), size=1024, end_id=2)
+
+
+@query
+def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_output.round_trip(table(spark, sf_dir, "documents"), end_id=0)
