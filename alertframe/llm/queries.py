@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, line_dedup, packing, quality_rules
+from . import binary_output, line_dedup, packing, positional_index, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.round_trip(table(spark, sf_dir, "documents"), end_id=0)
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.search(positional_index.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+ORACLES["op5_decontamination"] = positional_index.ORACLE
