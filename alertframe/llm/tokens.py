@@ -24,7 +24,7 @@ _KIND = np.zeros(256, np.int8)
 _KIND[:28] = _KIND[33:128] = 3
 _KIND[_LETTER], _KIND[48:58], _KIND[9:14] = 1, 2, 4
 #: Letters from here on may be newer than the library's tables; they take the long way.
-_NEWER = "\u0530"
+NEWER = "\u0530"
 #: The byte-level alphabet: printable Latin-1 signs stand for their own byte, 256 and on for the other bytes in order.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHAR = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
@@ -98,7 +98,7 @@ class Encoder:
     def _unit(self, raw: bytes) -> list[int]:
         text = raw.decode()
         word = text[1:] if text[0] == " " else text
-        if word.isalpha() and (word.isascii() or max(word) < _NEWER):  # one piece for the model
+        if word.isalpha() and (word.isascii() or max(word) < NEWER):  # one piece for the model
             return self._model(raw.decode("latin-1").translate(_BYTE_CHAR))
         if any(a in text for a in self.added):
             return self.tok.encode(text, add_special_tokens=False).ids
