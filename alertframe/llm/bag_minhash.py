@@ -228,8 +228,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     return ids.join(names, "node").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one that names it; all columns stay."""
-    found = near_duplicates(docs)
+def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with one document of each class: the one that names it (a repeated row of it: once); all columns stay."""
+    found, _ = write_table(near_duplicates(docs, text), "classes")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__d"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]), "left_anti")
+    again = found.groupBy(F.col("doc_id").alias("__d")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d")
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"].eqNullSafe(again["__d"])
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", text]))

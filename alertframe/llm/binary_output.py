@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, id_text
-from .kernels import pieces, utf8
+from .kernels import PIECE, pieces, utf8
 from .tokens import encoder, vocab_path
 
 MAGIC = b"RANKVB01"
@@ -122,7 +122,7 @@ def write_ids(docs: DataFrame, folder: str, end_id: int = 0, vocab: str | None =
             row = [part, seq, name, len(doc_ids), len(ranks), len(raw)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", min(PIECE, 2 * file_ids)):
             ids, off = enc.encode(*utf8(b.column(1)))
             n = np.diff(off)
             ranks = np.insert(rank_of[ids], off[1:], rank_of[end_id])

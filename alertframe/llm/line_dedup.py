@@ -59,17 +59,18 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: i
 
     Other columns pass through as they are.
     """
-    own = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__th", F.xxhash64("__t"))
-    slim = own.select(F.col(key).alias("d"), "__th", F.explode(_windows(F.col("__t"), size)).alias("w")).select("d", F.col("__th").alias("th"), "w.k", "w.h1", "w.h2")
-    repeated = slim.groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "k")).alias("first"), F.max(F.struct("d", "th", "k")).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    later = slim.join(repeated, ["h1", "h2"]).filter(~F.struct("d", "th", "k").eqNullSafe(F.col("first")))
-    gone = later.groupBy("d", "th").agg(F.collect_set("k").alias("__k"))
-    joined = own.join(gone, F.col(key).eqNullSafe(F.col("d")) & (F.col("__th") == F.col("th")), "left")
-    cut = joined.withColumn("__c", F.when(F.col("__k").isNotNull(), _cut(F.col("__t"), F.col("__k"), size)))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "dd_removed")]
-    place = docs.columns.index(text)
-    new = F.when(F.col("__c").isNotNull(), F.col("__c.text")).otherwise(F.col(text)).alias(text)
-    return cut.select(*kept[:place], new, *kept[place:], F.col("__c.removed").alias("dd_removed"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("d"), t.alias("t"), F.xxhash64(t).alias("th"))
+    slim = own.select("d", "th", F.explode(_windows(F.col("t"), size)).alias("w")).select("d", "th", "w.k", "w.h1", "w.h2")
+    place = F.struct("d", "th", "k")
+    repeated = slim.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    later = slim.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    gone = later.groupBy(F.col("d").alias("gd"), F.col("th").alias("gth")).agg(F.collect_set("k").alias("starts"))
+    joined = own.join(gone, F.col("d").eqNullSafe(F.col("gd")) & (F.col("th") == F.col("gth")), "left")
+    cut = joined.select("row", F.when(F.col("starts").isNotNull(), _cut(F.col("t"), F.col("starts"), size)).alias("cut"))
+    clean = F.when(F.col("cut").isNotNull(), F.col("cut.text")).otherwise(F.col(f"row.`{text}`"))
+    kept = [(clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "dd_removed"]
+    return cut.select(*kept, F.col("cut.removed").alias("dd_removed"))
 
 
 ORACLE = r"""

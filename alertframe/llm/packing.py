@@ -153,10 +153,10 @@ def plan_bins(counts: np.ndarray, size: int = 1024, nodes: int = 2000) -> Plan:
     """
     counts = np.asarray(counts, np.int64)
     total = int((counts * np.arange(len(counts))).sum())
-    least = -(-total // size)
+    least = max(-(-total // size), int(counts[size // 2 + 1 :].sum()))  # no two lengths over half share a sequence
     best = best_fit_decreasing(counts, size)
     bins = sum(t for _, t in best)
-    # depth first: (counts, plan so far, bins so far, waste so far, fillings left to try)
+
     def children(c: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
         top = int(np.flatnonzero(c)[-1])
         c = c.copy()
@@ -168,6 +168,7 @@ def plan_bins(counts: np.ndarray, size: int = 1024, nodes: int = 2000) -> Plan:
             c[top] -= 1
             yield (top, *f), times
 
+    # depth first: counts left, plan so far, its bins and waste, fillings left to try
     stack: list[tuple[np.ndarray, Plan, int, int, Iterator]] = [(counts, [], 0, 0, children(counts))] if total else []
     while stack and bins > least and nodes:
         c, plan, used, waste, rest = stack[-1]

@@ -121,15 +121,14 @@ def intersect(lists: list[np.ndarray]) -> np.ndarray:
     return at
 
 
-def near(lists: list[np.ndarray], width: int) -> np.ndarray:
-    """Places of the rarest word that have every other word fewer than `width` words away, on either side."""
+def near(lists: list[np.ndarray], width: int, starts: np.ndarray) -> np.ndarray:
+    """Places of the rarest word that have every other word of the same document fewer than `width` words away."""
     order = sorted(range(len(lists)), key=lambda k: len(lists[k]))
     at = lists[order[0]]
     for k in order[1:]:
-        have = lists[k]
-        if not len(have):
-            return at[:0]
-        at = at[np.searchsorted(have, at - width + 1) < np.searchsorted(have, at + width - 1, "right")]
+        doc = np.searchsorted(starts, at, "right") - 1
+        low, high = np.maximum(at - width + 1, starts[doc]), np.minimum(at + width - 1, starts[doc + 1] - 1)
+        at = at[np.searchsorted(lists[k], low) < np.searchsorted(lists[k], high, "right")]
     return at
 
 
@@ -183,7 +182,7 @@ def _search_block(index: DataFrame, asked: DataFrame, size: int, proximity: int)
         for w, phrase in enumerate(phrases):
             own = phrase.tolist()
             if all(k in codes for k in own):
-                found = near([places(k) for k in dict.fromkeys(own)], proximity) if proximity else intersect([places(k) for k in own])
+                found = near([places(k) for k in dict.fromkeys(own)], proximity, starts) if proximity else intersect([places(k) for k in own])
                 if len(found):
                     hit_at.append(found)
                     hit_len.append(np.full(len(found), 1 if proximity else len(own)))

@@ -60,11 +60,10 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 4, bind(bind(hashed, windows), count)).otherwise(F.lit(0))
 
 
-def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, the measurements (long) and fail_bits (long): bit i is set if rule i of RULES failed."""
-    t = F.col("text")
+def _measures(t: Column) -> Column:
+    """Struct of MEASURES of a text column."""
 
-    def measures(words: Column, lines: Column) -> Column:
+    def of(words: Column, lines: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.regexp_replace(t, WS, "")).cast("long").alias("word_chars"),
@@ -76,10 +75,27 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     words = F.array_remove(F.split(t, WS, -1), "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_WS))
-    measured = id_text(docs, text, key).select("doc_id", bind(words, lambda w: bind(lines, lambda x: measures(w, x))).alias("m"))
-    flat = measured.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in MEASURES))
-    bits = sum((F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, rule in enumerate(RULES.values())), F.lit(0).cast("long"))
-    return flat.withColumn("fail_bits", bits)
+    return bind(words, lambda w: bind(lines, lambda x: of(w, x)))
+
+
+def _bits() -> Column:
+    """fail_bits from columns named as MEASURES."""
+    return sum((F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, rule in enumerate(RULES.values())), F.lit(0).cast("long"))
+
+
+def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, the measurements (long) and fail_bits (long): bit i is set if rule i of RULES failed."""
+    measured = id_text(docs, text, key).select("doc_id", _measures(F.col("text")).alias("m"))
+    return measured.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in MEASURES)).withColumn("fail_bits", _bits())
+
+
+def keep_documents(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
+    """The rows of docs that the policy keeps, whole, in one pass without a shuffle."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), _measures(t).alias("m"))
+    flat = rows.select("__row", *(F.col(f"m.{c}").alias(c) for c in MEASURES)).withColumn("fail_bits", _bits())
+    bad = mask(tuple(dict.fromkeys((*BASE, *POLICIES[policy]))))
+    return flat.filter(F.col("fail_bits").bitwiseAND(F.lit(bad).cast("long")) == 0).select("__row.*")
 
 
 def apply_policy(led: DataFrame, policy: str = "v1", policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:

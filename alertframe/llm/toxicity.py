@@ -4,9 +4,9 @@ Labels are per document. Token labels come from the corpus: over all labelled tr
 stands in at least `min_share` of the toxic documents and `precision` of the documents that have it are toxic; in
 toxic documents its tokens are labelled 1, all other tokens 0. A two-state chain is fitted to a bounded sample of
 labelled documents (`sample` of each class, by hash order) by gradient ascent on the exact likelihood; its features
-are each token's word and its first four bytes, hashed, and the transitions. Forward-backward then gives every token
+are each token's word and its first six bytes, hashed, and the transitions. Forward-backward then gives every token
 of a text its marginal probability; tokens at or above one half make the offending spans, and a logistic function of
-the largest marginal, their sum and their mean is the document's score.
+the largest marginal, their sum, their mean and the toxic tokens' number is the document's score.
 
 Chains are lines, cut after `CHAIN` tokens; all chains of a batch advance together in numpy. The model is of fixed
 size. Inputs of a score are the text's words alone.
@@ -29,7 +29,7 @@ from .common import id_text
 from .kernels import ALNUM, U64, byte_values, fingerprints, mix, pieces, utf8, words
 
 CHAIN = 256
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 _VALUES = byte_values(ALNUM, True)
 _BREAK = 10
 
@@ -50,7 +50,7 @@ class Chains:
 def chains(data: np.ndarray, offsets: np.ndarray) -> Chains:
     starts, ends, first = words(data, offsets, ALNUM)
     terms = fingerprints(data, starts, ends, _VALUES)
-    head = fingerprints(data, starts, np.minimum(ends, starts + 4), _VALUES)
+    head = fingerprints(data, starts, np.minimum(ends, starts + 6), _VALUES)
     feats = np.stack([(terms % U64(BUCKETS)).astype(np.int64), (mix(head + U64(1)) % U64(BUCKETS)).astype(np.int64)])
     n = len(starts)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -112,7 +112,7 @@ def forward_backward(e: np.ndarray, active: np.ndarray, trans: np.ndarray) -> tu
 
 def fit_chain(c: Chains, labels: np.ndarray, steps: int = 40, rate: float = 0.5, l2: float = 1e-4) -> Model:
     """Gradient ascent with per-weight rates on the log-likelihood of the token labels."""
-    m = Model(np.zeros((2, BUCKETS)), float(np.log((labels.sum() + 1) / (len(labels) + 1))), np.zeros((2, 2)), np.zeros(4))
+    m = Model(np.zeros((2, BUCKETS)), float(np.log((labels.sum() + 1) / (len(labels) + 1))), np.zeros((2, 2)), np.zeros(5))
     y = labels[c.order].astype(float)
     off = np.cumsum(c.active) - c.active
     seen = np.zeros((2, 2))
@@ -135,12 +135,13 @@ def fit_chain(c: Chains, labels: np.ndarray, steps: int = 40, rate: float = 0.5,
 
 
 def document_features(p: np.ndarray, c: Chains, n_docs: int) -> np.ndarray:
-    """Per document: 1, the largest marginal, log(1 + their sum), their mean; p is in token order."""
-    out = np.zeros((n_docs, 4))
+    """Per document: 1, the largest marginal, log(1 + their sum), the root of their mean, log(1 + toxic tokens)."""
+    out = np.zeros((n_docs, 5))
     out[:, 0] = 1
     np.maximum.at(out[:, 1], c.doc, p)
     sums, n = np.bincount(c.doc, p, n_docs), np.bincount(c.doc, minlength=n_docs)
-    out[:, 2], out[:, 3] = np.log1p(sums), sums / np.maximum(n, 1)
+    out[:, 2], out[:, 3] = np.log1p(sums), np.sqrt(sums / np.maximum(n, 1))
+    out[:, 4] = np.log1p(np.bincount(c.doc, p >= 0.5, n_docs))
     return out
 
 
