@@ -1,6 +1,6 @@
 """Extraction: bulletins to nested, provenance-carrying records.
 
-One mapInPandas pass runs all span-bearing parsers, since they share state (a cascade of photometry forms, overlap
+One mapInArrow pass runs all span-bearing parsers, since they share state (a cascade of photometry forms, overlap
 rules, dating); what can be derived from the result (detection flags, canonical names, taxonomy paths) is added by
 Catalyst expressions after it.
 """
@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..shipping import ship
@@ -89,20 +90,6 @@ def extract_text(subject: str | None, body: str | None, event_id: str | None = N
     }
 
 
-def _filled(value: Any, kind: Any) -> Any:
-    """Dicts completed to their struct's fields."""
-    name = type(kind).__name__
-    if value is None:
-        return None
-    if name == "StructType":
-        return {f.name: _filled(value.get(f.name), f.dataType) for f in kind.fields}
-    if name == "ArrayType":
-        return [_filled(v, kind.elementType) for v in value]
-    if name == "MapType":
-        return {k: _filled(v, kind.valueType) for k, v in value.items()}
-    return value
-
-
 def lookup(table: dict[str, str], key: Column) -> Column:
     """A value from a small fixed table by trimmed lower-case key."""
     pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
@@ -122,26 +109,31 @@ def derive(found: DataFrame) -> DataFrame:
 
 
 def extract(circulars: DataFrame, classify: Classifier | None = None) -> DataFrame:
-    """circular_id, subject, body[, event_id, trigger_time] -> schemas.EXTRACTION; a bad bulletin gets a note."""
+    """circular_id, subject, body[, event_id, trigger_time] -> schemas.EXTRACTION; a bad bulletin gets a note.
+
+    Parsing costs far more than moving a bulletin, and a file split holds hundreds of thousands, so rows are dealt out
+    by circular_id first (later joins and aggregations by it need no shuffle); the fixed number keeps adaptive
+    execution from putting small partitions together again.
+    """
     ship(circulars.sparkSession)
-    kinds = {f.name: f.dataType for f in schemas.struct(schemas.EXTRACTION).fields}
+    arrow = to_arrow_schema(schemas.struct(schemas.EXTRACTION))
     has = circulars.columns
     own = circulars.select("circular_id", "subject", "body", *(F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in (("event_id", "string"), ("trigger_time", "timestamp"))))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    own = own.repartition(int(circulars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "circular_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for r in f.itertuples(index=False):
-                text = lambda x: x if isinstance(x, str) else None
-                trigger = r.trigger_time.to_pydatetime() if isinstance(r.trigger_time, pd.Timestamp) and not pd.isna(r.trigger_time) else None
+            for number, subject, body, event_id, trigger in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 try:
-                    got = extract_text(text(r.subject), text(r.body), text(r.event_id), trigger, classify)
+                    got = extract_text(subject, body, event_id, trigger, classify)
                 except Exception as e:  # one bulletin must not end the job
                     got = {"retraction": False, "photometry": [], "time_offsets": [], "provenance": {}, "extraction_meta": {"extractor": "regex", "notes": [f"error: {e}"]}}
-                out.append([r.circular_id] + [_filled(got.get(c), kinds[c]) for c in kinds if c != "circular_id"])
-            yield pd.DataFrame(out, columns=list(kinds))
+                out.append(got | {"circular_id": number, "provenance": list(got["provenance"].items())})
+            yield pa.RecordBatch.from_arrays([pa.array([g.get(f.name) for g in out], f.type) for f in arrow], schema=arrow)  # keys that a dict lacks are null
 
-    return derive(own.mapInPandas(run, schemas.EXTRACTION))
+    return derive(own.mapInArrow(run, schemas.EXTRACTION))
 
 
 def provenance_rows(found: DataFrame) -> DataFrame:
