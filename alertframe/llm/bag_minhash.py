@@ -8,9 +8,10 @@ two documents agree in a slot with probability exactly their weighted Jaccard si
 while its next point can still come first somewhere, and all strips of a batch advance together in numpy.
 
 Grouping. 40 bands of 6 slots make buckets (a pair at 0.8 is missed with probability 5e-6). Texts of a bucket are not
-paired with each other: each is verified against the bucket's most connected text, exactly, on the multisets. Only
-buckets that still hold texts of different components are looked at again, with other pivots and in the end pair by
-pair, so that no link between different texts is lost and a large group costs about one comparison per text. Exact
+paired with each other: each is verified against the bucket's most connected text, exactly, on the multisets, which
+joins nearly all of a group. Buckets that then still hold texts of different components are looked at once more: the
+texts outside a bucket's main component are gathered in blocks, and each text of their buckets is held against a
+block at a time inside a task, so that no link between different texts is lost and no pairs are ever listed. Exact
 copies are one text throughout; components come from alternating large-star and small-star steps on written tables.
 
 Defined results: a text without a word (null, empty, blank) is alone in its class; rows that repeat are copies; a
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_path, id_text, write_table
-from .kernels import NONSPACE, U64, byte_values, fingerprints, mix, pieces, utf8, words
+from .kernels import NONSPACE, U64, byte_values, fingerprints, mix, pieces, ragged, utf8, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
 _VALUES = byte_values(NONSPACE, False)
@@ -174,7 +175,77 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 4) -> DataFrame:
+def _links(asked: list[tuple], held: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links between asked and held texts (node, component, items, counts) that join what wasn't joined before."""
+    if not asked:
+        return
+    of = np.repeat(np.arange(len(asked)), [len(q[2]) for q in asked])
+    items, counts = np.concatenate([q[2] for q in asked]), np.concatenate([q[3] for q in asked])
+    order = np.argsort(items, kind="stable")
+    items, counts, of = items[order], counts[order], of[order]
+    totals = np.array([q[3].sum() for q in asked])
+    root: dict[bytes, bytes] = {}
+
+    def find(c: bytes) -> bytes:
+        while c in root:
+            c = root[c]
+        return c
+
+    for node, comp, own, weight in held:
+        low, high = np.searchsorted(items, own), np.searchsorted(items, own, "right")
+        at = ragged(low, high - low)
+        shared = np.bincount(of[at], np.minimum(counts[at], np.repeat(weight, high - low)), len(asked))
+        for k in np.flatnonzero(shared >= threshold * (totals + weight.sum() - shared)):
+            a, b = find(asked[k][1]), find(comp)
+            if a != b and asked[k][0] != node:
+                root[a] = b
+                yield asked[k][0], node
+
+
+def block_links(rows: DataFrame, threshold: float, k: int) -> DataFrame:
+    """rows (main, blk, role, node, comp, text) -> links (x, p): role 0 texts of a block against its role 1 texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, asked = None, []
+        for part in pieces(batches, "text"):
+            doc, item, count = shingle_bags(*utf8(part.column(5)), k)
+            cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            x, p, held = [], [], []
+
+            def flush(x: list = x, p: list = p, held: list = held) -> None:
+                for u, y in _links(asked, held, threshold):
+                    x.append(u)
+                    p.append(y)
+                held.clear()
+
+            for i, (main, blk, role, node, comp) in enumerate(zip(*(c.to_pylist() for c in part.columns[:5]), strict=True)):
+                if block != (main, blk):
+                    flush()
+                    block, asked = (main, blk), []
+                (held if role else asked).append((node, comp, item[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]))
+            flush()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(p, pa.binary())], names=["x", "p"])
+
+    return rows.repartition("main", "blk").sortWithinPartitions("main", "blk", "role").mapInArrow(run, "x binary, p binary")
+
+
+def _rest(buckets: DataFrame, comp: DataFrame, texts: DataFrame, threshold: float, k: int, block: int = 256) -> DataFrame | None:
+    """Links within buckets that still hold several components; none if there are no such buckets."""
+    now = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    split = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
+    left, _ = write_table(now.join(split, "key"), "split")
+    if left.isEmpty():
+        return None
+    most = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    outside, _ = write_table(left.join(most, "key").filter("comp <> main"), "outside")
+    blocks = outside.select("main", "node").distinct().groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).alias("k"))
+    dealt = outside.join(blocks, "main").select("key", "main", F.pmod(F.xxhash64("node"), F.col("k")).alias("blk"), "node", "comp")
+    asked = dealt.select("main", "blk", F.lit(0).alias("role"), "node", "comp").distinct()
+    held = dealt.select("key", "main", "blk").distinct().join(left, "key").select("main", "blk", F.lit(1).alias("role"), "node", "comp").distinct()
+    return block_links(asked.unionByName(held).join(texts, "node").select("main", "blk", "role", "node", "comp", "text"), threshold, k)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per document: doc_id, class_id (least doc_id of its near-duplicate class) and copy_of (of its exact copies)."""
     signed = signatures(docs, text, key, k, bands, rows)
     every, _ = write_table(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "texts")
@@ -186,40 +257,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     held = id_text(docs, text, key).withColumn("node", F.unhex(F.md5("text")))
     wanted = buckets.select("node").distinct().join(named.select("node", "doc"), "node")
     texts, _ = write_table(held.join(wanted, (held["node"] == wanted["node"]) & held["doc_id"].eqNullSafe(wanted["doc"])).select(held["node"], "text"), "near-texts")
-
-    def stars(rows_: DataFrame, weight: F.Column) -> DataFrame:
-        pivots = rows_.groupBy("key").agg(F.max(F.struct(weight.alias("w"), F.col("node"))).alias("top")).select("key", F.col("top.node").alias("p"))
-        return rows_.join(pivots, "key").filter("node <> p").select(F.col("node").alias("x"), "p").distinct()
-
-    tested, _ = write_table(verify(stars(buckets.join(degree, "node"), F.col("degree")), texts, k), "tested")
-    parts = [tested]
-    for turn in range(star_rounds + 1):
-        links = parts[0]
-        for p in parts[1:]:
-            links = links.unionByName(p)
-        comp, _ = write_table(components(links.filter(F.col("sim") >= threshold).select(F.col("x").alias("u"), F.col("p").alias("v"))), "components")
-        now = buckets.join(comp, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
-        split = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("c")).filter("a <> b").select("key", "c")
-        left, _ = write_table(now.join(split, "key"), "split")
-        size = left.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("c") - 1) / 2).alias("pairs")).first()
-        if not size.rows:
-            break
-        last = turn == star_rounds or size.pairs <= 4 * size.rows
-        if last:
-            a, b = left.select("key", F.col("node").alias("x"), F.col("comp").alias("cx")), left.select("key", F.col("node").alias("p"), F.col("comp").alias("cp"))
-            asked = a.join(b, "key").filter("x < p and cx <> cp").select("x", "p").distinct()
-        else:
-            asked = stars(left, F.xxhash64("node", F.lit(turn)))
-            asked = asked.join(comp.select(F.col("node").alias("x"), F.col("comp").alias("cx")), "x", "left").join(comp.select(F.col("node").alias("p"), F.col("comp").alias("cp")), "p", "left")
-            asked = asked.filter(F.coalesce("cx", "x") != F.coalesce("cp", "p")).select("x", "p")
-        done = links.select("x", "p")
-        fresh = asked.join(done, ["x", "p"], "left_anti").join(done.select(F.col("x").alias("p"), F.col("p").alias("x")), ["x", "p"], "left_anti")
-        more, _ = write_table(verify(fresh, texts, k), "tested")
-        parts.append(more)
-        if last:
-            links = links.unionByName(more)
-            comp, _ = write_table(components(links.filter(F.col("sim") >= threshold).select(F.col("x").alias("u"), F.col("p").alias("v"))), "components")
-            break
+    hubs = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("p"))
+    stars = buckets.join(hubs, "key").filter("node <> p").select(F.col("node").alias("x"), "p").distinct()
+    links, _ = write_table(verify(stars, texts, k).filter(F.col("sim") >= threshold).select(F.col("x").alias("u"), F.col("p").alias("v")), "links")
+    comp, _ = write_table(components(links), "components")
+    more = _rest(buckets, comp, texts, threshold, k)
+    if more is not None:
+        found, _ = write_table(more.select(F.col("x").alias("u"), F.col("p").alias("v")), "links")
+        if not found.isEmpty():
+            comp, _ = write_table(components(links.unionByName(found)), "components")
     classed = every.join(comp, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"), (F.size("bands") == 0).alias("blank"))
     least = classed.groupBy("comp").agg(F.min("doc").alias("class_id"))
     names = classed.join(least, "comp").select("node", F.col("doc").alias("copy_of"), "class_id", "blank")
