@@ -111,7 +111,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int =
     return found.select("doc_id", "h", "f.base", "f.ctx")
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, text: str = "text", key: str = "doc_id", generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 3, small: int = 100_000) -> DataFrame:
+def disclosures(docs: DataFrame, scanned: DataFrame, text: str = "text", key: str = "doc_id", generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 3) -> DataFrame:
     """entity, term, share and action for all pairs that reach a threshold."""
     total = scanned.count()
     entities = scanned.select("doc_id", "h", F.explode(F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b.kind, F.lower(b.m))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
@@ -119,10 +119,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text: str = "text", key: st
     each = near.groupBy("entity", "term", "doc_id", "h").agg(F.min("near").alias("near"))
     pairs = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("near").alias("support")).filter(F.col("support") >= support)
     pairs, _ = write_table(pairs, "pairs")
-    terms = pairs.select("term").distinct()
     spoken = id_text(docs, text, key).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}++"))).alias("term"))
-    if pairs.select("term").distinct().count() <= small:  # the same counts either way
-        spoken = spoken.join(F.broadcast(terms), "term", "left_semi")
     df = spoken.groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     ratio = F.log(F.col("c") * F.lit(float(total)) / (F.col("df_t") * F.col("df_e"))) / F.log(F.lit(float(total)) / F.col("df_e"))
     scored = pairs.join(df, "term").join(entities, "entity").withColumn("share", F.when(F.col("df_e") < total, ratio))
