@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, write_table
 from .kernels import ALNUM, U64, byte_values, fingerprints, mix, pieces, utf8, words
 
 CHAIN = 256
 BUCKETS = 1 << 20
 _VALUES = byte_values(ALNUM, True)
 _BREAK = 10
+#: Up to so many labels (16 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 @dataclass
@@ -198,19 +200,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, min_s
     most toxic documents); counts are over all training rows.
     """
     known = labels.filter(F.col("toxic").isNotNull()).filter(train if train is not None else F.lit(True)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    rows = id_text(docs).join(known, "doc_id")
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_tox, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_tox or not n_clean:
         return None
     least = max(min_docs, int(min_share * n_tox))
+    few = n_tox + n_clean <= BROADCAST_LABELS
+    rows = id_text(docs).join(F.broadcast(known) if few else known, "doc_id").select("toxic", "text")
+    rows = rows if few else write_table(rows, "labelled")[0]  # the texts are shuffled once, not once a pass
     top = _frequencies(rows.filter("toxic = 1"), None, least).orderBy(F.desc("tox"), "term").limit(candidates).toPandas()
     keys = np.sort(top["term"].to_numpy(np.int64).view(U64))
     seen = _frequencies(rows, keys, least).toPandas()
     tox, clean = seen["tox"] / n_tox, seen["clean"] / n_clean  # rates: as if the classes were equally large
     good = tox >= precision * (tox + clean)
     lexicon = np.sort(seen["term"][good].to_numpy(np.int64).view(U64))
-    taken = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("toxic", "text").toArrow() for k in (0, 1)]
+    taken = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("text"), "text").limit(sample).select("toxic", "text").toArrow() for k in (0, 1)]
     taken = pa.concat_tables(taken).combine_chunks()
     toxic = taken.column("toxic").to_numpy()
     c = chains(*utf8(taken.column("text")))
