@@ -78,3 +78,23 @@ def backfill_span(body: Column, value: Column) -> Column:
     times = (F.length(body) - F.length(F.replace(body, value, F.lit("")))) / F.length(value)
     at = F.instr(body, value) - 1
     return F.when((F.length(value) >= 3) & (times == 1), F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("snippet")))
+
+
+def scaffold(circulars: DataFrame) -> DataFrame:
+    """circular_id, source (Markdown: subject, id, rule, body) and label: an empty label with every slot visible."""
+    slots = [f"'{c}', cast(null as string)" for c in ("event", "follow_up", "localization", "datetime")]
+    lists = [f"'{c}', cast(array() as array<string>)" for c in ("time_offsets", "photometry", "spectroscopy")]
+    rest = [f"'{c}', cast(null as string)" for c in ("classification", "redshift", "reporter")]
+    empty = F.to_json(F.expr(f"named_struct('circular_id', circular_id, {', '.join(slots + lists + rest)})"), {"ignoreNullFields": "false"})
+    source = F.concat(F.lit("# "), F.coalesce("subject", F.lit("")), F.lit("\n\ncircular "), F.col("circular_id").cast("string"), F.lit("\n\n---\n"), F.coalesce("body", F.lit("")))
+    return circulars.select("circular_id", source.alias("source"), empty.alias("label"))
+
+
+def cap_arrays(schema: dict, most_items: int = 15, longest: int = 128) -> dict:
+    """A JSON Schema for constrained decoding: arrays and strings bounded, everything else as it is."""
+    out = {k: cap_arrays(v, most_items, longest) if isinstance(v, dict) else v for k, v in schema.items()}
+    if out.get("type") == "array":
+        out["maxItems"] = most_items
+    if "string" in (out.get("type") if isinstance(out.get("type"), list) else [out.get("type")]):
+        out["maxLength"] = longest
+    return out

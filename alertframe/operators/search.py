@@ -81,3 +81,9 @@ def search(indexed: DataFrame, bridge: DataFrame, query: str, event: str | None
         hits = hits.withColumn("score", F.lit(1))
     out = hits.select("circular_id", F.col("score").cast("long").alias("score"), "created_on", snippet(terms).alias("snippet"), F.substring("body", 1, 320).alias("head"))
     return out.orderBy(F.desc("score"), F.desc("created_on"), F.desc(F.col("circular_id").cast("string"))).limit(limit)
+
+
+def event_circulars(circulars: DataFrame, bridge: DataFrame, event: str) -> DataFrame:
+    """All bulletins that name an event, newest first."""
+    wanted = bridge.filter(F.col("event_norm") == names.normal(event)).select("circular_id").distinct()
+    return circulars.join(wanted, "circular_id", "left_semi").orderBy(F.desc("created_on"), F.desc(F.col("circular_id").cast("string")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import classify, evaluate, extract, fusion, labels, sampling, search, sky, store, upsert
+from ..sources import readers
 from ..streaming import consume
 from ..synth import circulars, circulars_sql, facts_sql, lines_sql, register, tables_sql
 from ..text import classes
@@ -466,4 +467,24 @@ def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_name").agg(F.count(F.lit(1)).alias("customers")).filter("customers > 1")
 
 
+@query(f"select circular_id, {EVENT} as event from ({FACTS}) where event = (select event from ({FACTS}) order by circular_id desc limit 1)")
+def event_circulars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bulletins of the event that the last order names."""
+    event = _facts(spark, sf_dir).orderBy(F.desc("circular_id")).select("event").first().event
+    c = circulars(spark, sf_dir)
+    return search.event_circulars(c, upsert.event_bridge(c), event).select("circular_id", F.lit(event.replace(" ", "")).alias("event"))
+
+
+_ALIASES = ", ".join(f"('{a}', '{n}')" for a, n in classes.aliases().items())
+
+
+@query(f"select c_custkey, t.n as canonical from (select *, {len(classes.aliases())} as k from customer) join (select a, n, row_number() over (order by a) - 1 as i from (values {_ALIASES}) v(a, n)) t on t.i = c_custkey % k")
+def taxonomy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written class names (here dealt to customers) to canonical ones through the alias table."""
+    aliases = readers.taxonomy_tables(spark)[0]
+    spelt = F.array(*(F.lit(a) for a in sorted(classes.aliases(), key=lambda a: a.encode())))
+    c = _table(spark, sf_dir, "customer").select("c_custkey", F.get(spelt, (F.col("c_custkey") % len(classes.aliases())).cast("int")).alias("alias_lower"))
+    return c.join(F.broadcast(aliases), "alias_lower").select("c_custkey", "canonical")  # the taxonomy is of fixed size
+
+
 FLAGSHIP = "redshift_of_events"

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import tarfile
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from .. import schemas
 from ..functions import scalars as S
+from ..text import classes
 
 TOPIC = "gcn.circulars"
 
@@ -125,3 +127,23 @@ class BulletinArchive(DataSource):
 
     def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:
         return _RangePoller(self.options["url"], int(self.options.get("start", 1)), int(self.options.get("most", 100)))
+
+
+def untar(spark: SparkSession, tarball: str, out: str, force: bool = False) -> str:
+    """Unpacks an archive once (a sentinel file says so) and gives the directory; the driver's own file system."""
+    folder = Path(out)
+    done = folder / ".unpacked"
+    if force or not done.exists():
+        folder.mkdir(parents=True, exist_ok=True)
+        with tarfile.open(tarball) as t:
+            t.extractall(folder, filter="data")
+        done.touch()
+    return str(folder)
+
+
+def taxonomy_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """alias_lower, canonical, ord (the first claim of a name has it), and class, path."""
+    claims = [(a.lower(), name, k) for k, (name, _, more) in enumerate(classes.taxonomy()) for a in (name, *more)]
+    aliases = spark.createDataFrame(claims, "alias_lower string, canonical string, ord int")
+    first = aliases.groupBy("alias_lower").agg(F.min_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
+    return first, spark.createDataFrame(list(classes.paths().items()), "class string, path array<string>")

@@ -42,6 +42,13 @@ def dedup_stream(points: DataFrame, tolerance: float = TOLERANCE_DAYS) -> DataFr
     return own.groupBy("obj_id", "filter").applyInPandasWithState(_keeper(tolerance), POINT, "seen array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def prime(points: DataFrame, known: DataFrame, tolerance: float = TOLERANCE_DAYS) -> DataFrame:
+    """Points that the downstream system (known: obj_id, filter, mjd) doesn't hold within tolerance; stream or table."""
+    held = known.select(F.col("obj_id").alias("k_obj"), F.col("filter").alias("k_filter"), F.col("mjd").alias("k_mjd"))
+    same = (F.col("obj_id") == F.col("k_obj")) & (F.col("filter") == F.col("k_filter")) & (F.abs(F.col("mjd") - F.col("k_mjd")) <= tolerance)
+    return points.join(held, same, "left").filter("k_mjd is null").drop("k_obj", "k_filter", "k_mjd")
+
+
 def dedup_batch(points: DataFrame, tolerance: float = TOLERANCE_DAYS) -> DataFrame:
     """The same over a table: a fold over each key's sorted times that remembers the last kept one."""
     kept = F.aggregate(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tarfile
 from datetime import datetime
 
 import pytest
@@ -212,6 +213,8 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = {tuple(r) for r in consume.dedup_batch(spark.createDataFrame(rows, schema)).collect()}
     assert {tuple(r) for r in spark.table("kept").collect()} == want and len(want) == 5
+    known = spark.createDataFrame([("a", "r", 1.01), ("a", "r", 1.0)], schema)
+    assert {tuple(r) for r in consume.prime(spark.createDataFrame(rows, schema), known).collect()} == {r for r in rows if r[:2] != ("a", "r") or r[2] > 1.5}
 
 
 def test_consume(spark, bulletins, tmp_path):
@@ -222,3 +225,15 @@ def test_consume(spark, bulletins, tmp_path):
     corpus = bulletins.select("circular_id", "subject", "body", "event_id", "trigger_time")
     consume.consume(stream, corpus, lambda df, n: posted.extend(df.select("circular_id", "band").collect()), str(tmp_path / "cp"), {"sdssg": 1}).awaitTermination(120)
     assert [(r.circular_id, r.band) for r in posted] == [(9, "sdssg")]
+
+
+def test_scaffold_and_archive(spark, bulletins, tmp_path):
+    row = labels.scaffold(bulletins.filter("circular_id = 3")).first()
+    assert row.source.endswith("---\nIt was noise. See GCN 2.") and json.loads(row.label)["photometry"] == [] and "redshift" in json.loads(row.label)
+    capped = labels.cap_arrays(json.loads(schemas.json_schema()))
+    assert capped["properties"]["photometry"]["maxItems"] == 15
+    (tmp_path / "1.json").write_text("{}")
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        t.add(tmp_path / "1.json", "archive.json/1.json")
+    out = readers.untar(spark, str(tmp_path / "a.tar.gz"), str(tmp_path / "out"))
+    assert readers.untar(spark, "missing", out) == out and readers.read_records(spark, out).count() == 1
