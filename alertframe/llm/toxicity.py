@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, min_s
         return None
     least = max(min_docs, int(min_share * n_tox))
     few = n_tox + n_clean <= BROADCAST_LABELS
-    rows = id_text(docs).join(F.broadcast(known) if few else known, "doc_id").select("toxic", "text")
+    rows = id_text(docs).join(F.broadcast(known) if few else known, "doc_id").select("doc_id", "toxic", "text")
     rows = rows if few else write_table(rows, "labelled")[0]  # the texts are shuffled once, not once a pass
     top = _frequencies(rows.filter("toxic = 1"), None, least).orderBy(F.desc("tox"), "term").limit(candidates).toPandas()
     keys = np.sort(top["term"].to_numpy(np.int64).view(U64))
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, min_s
     tox, clean = seen["tox"] / n_tox, seen["clean"] / n_clean  # rates: as if the classes were equally large
     good = tox >= precision * (tox + clean)
     lexicon = np.sort(seen["term"][good].to_numpy(np.int64).view(U64))
-    taken = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("text"), "text").limit(sample).select("toxic", "text").toArrow() for k in (0, 1)]
+    taken = [_first(rows.filter(F.col("toxic") == k), n, sample) for k, n in ((0, n_clean), (1, n_tox))]
     taken = pa.concat_tables(taken).combine_chunks()
     toxic = taken.column("toxic").to_numpy()
     c = chains(*utf8(taken.column("text")))
@@ -226,6 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, min_s
     return m
 
 
+def _first(rows: DataFrame, n: int, sample: int) -> pa.Table:
+    """The first rows by the order of a hash: of about n, the lowest hashes alone reach the sort, four times as many
+    as are asked for, so that what one task merges doesn't grow with the corpus."""
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, 4 * sample / n) * (1 << 30))
+    return rows.filter(low).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("toxic", "text").toArrow()
+
+
 def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, score, and spans: "start:end" (code points, comma-joined) of runs of toxic tokens."""
     own = id_text(docs, text, key)
