@@ -358,6 +358,12 @@ def instrument_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.unique_instruments(_table(spark, sf_dir, "part").filter("p_partkey % 97 = 0"), "p_brand", "p_size")
 
 
+@query("select l_orderkey, min(l_suppkey) as l_suppkey from lineitem group by l_orderkey having count(distinct l_suppkey) = 1")
+def instrument_unique_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a whole table: orders that one supplier alone delivers."""
+    return fusion.unique_instruments(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")
+
+
 _DEDUP = """with recursive e as (select user_id::varchar as obj_id, event_type as filter, epoch_us(ts) / 86400e6 as mjd from events),
 o as (select *, row_number() over (partition by obj_id, filter order by mjd) as n from e),
 k(obj_id, filter, n, mjd, last) as (select obj_id, filter, n, mjd, mjd from o where n = 1
