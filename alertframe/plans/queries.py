@@ -294,6 +294,16 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["postings"] = "select term, count(*)::bigint as df, sum(n)::bigint as tf from (select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_extract_all(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[\\pL\\pN]+')) as term from documents where lang = 'en') group by all) where regexp_full_match(term, '[a-z0-9]+') group by term"
+
+
+@query()
+def postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document and term frequencies of every term of all documents; SQL can't state the tokens alike."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("circular_id"), F.lit("").alias("subject"), F.col("text").alias("body"))
+    each = search.postings(d).filter("col = 'body'")
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("tf"))
+
+
 _SEP = "degrees(atan2(sqrt(pow(cos(radians(dec2)) * sin(radians(ra2 - ra)), 2) + pow(cos(radians(dec)) * sin(radians(dec2)) - sin(radians(dec)) * cos(radians(dec2)) * cos(radians(ra2 - ra)), 2)), sin(radians(dec)) * sin(radians(dec2)) + cos(radians(dec)) * cos(radians(dec2)) * cos(radians(ra2 - ra)))) * 3600"
 
 

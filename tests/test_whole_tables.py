@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+
 import duckdb
 
 from alertframe.plans.queries import QUERIES
@@ -16,3 +19,20 @@ def test_instrument_unique_all(spark):
     want = sorted((k, min(v)) for k, v in held.items() if len(v) == 1)
     got = sorted(tuple(r) for r in QUERIES["instrument_unique_all"](spark, SF).collect())
     assert got == want and 0 < len(got) < len(held)
+
+
+def plain_tokens(text: str | None) -> list[str]:
+    plain = (text or "").lower().translate(str.maketrans("áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"))
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in plain).split()
+
+
+def test_postings_all(spark):
+    df, tf, langs = Counter(), Counter(), set()
+    for text, lang in duckdb.sql(f"select text, lang from '{SF}/documents.parquet'").fetchall():
+        langs.add(lang)
+        terms = plain_tokens(text)
+        tf.update(terms)
+        df.update(set(terms))
+    got = {r.term: (r.df, r.tf) for r in QUERIES["postings_all"](spark, SF).collect()}
+    assert got == {t: (df[t], tf[t]) for t in tf}
+    assert len(langs) > 1 and any(not t.isascii() for t in got)
