@@ -1,22 +1,29 @@
 """Information-theoretic sanitisation [native].
 
 Base detectors find e-mail addresses, IP addresses, payment cards and phone numbers. Each distinct value found is a
-protected entity e with information IC(e) = log(N / df(e)) over the N documents. A term t near it discloses
-PMI(t; e) = log(N c(t, e) / (df(t) df(e))) of that, where c counts documents that have t within `reach` code points of
-e. Terms whose share PMI / IC reaches `remove_at` are removed, those from `generalise_at` on are generalised to their
-kind, wherever they stand beside that entity. A pair counts only if its contexts differ at least `support` times, so
-that copies of one text, or a single accident, disclose nothing.
-
-Document frequencies are counted over all documents. A context row is a few words, so the entity or term that a third
-of the corpus shares costs one row per task after pre-aggregation, and the join back to disclosing pairs is a plain
-equi-join.
-
-Defined results: null text is empty and has no spans; rows equal in doc_id and text are one document; an added span
-never overlaps a base one; extra columns are ignored; an empty table gives an empty result.
+protected entity e with information IC(e) = log(N / df(e)) over the N documents. A term t discloses
+PMI(t; e) = log(N c(t, e) / (df(t) df(e))) of that, where c counts documents that hold both, wherever in the text.
+Terms whose share PMI / IC reaches `remove_at` are removed, those from `generalise_at` on are generalised to their
+kind, in every document that holds them, with or without the entity.
+
+Rare entities have no fixed support to reach: a pair counts if so many of the entity's texts would hold the term by
+chance with a probability of at most `alpha`, taken over all terms of the corpus (Bonferroni: pairs are found because
+they co-occur, so the terms that don't are tests too; one text of an entity is evidence in a small vocabulary only). The probability is
+Chernoff's bound exp(-n KL(k / n || df(t) / N)) for k of n texts; the entity's texts count once here, however many
+copies they have.
+
+Counts are pre-aggregated per task: a text's copies first, then its pairs of an entity and a term; df is counted over
+all documents. Disclosing terms meet the documents' distinct terms in an equi-join, which adaptive execution splits
+where a term is hot; only documents with such a term are searched for its places.
+
+Defined results: null text is empty and has no spans; rows equal in doc_id and text get the same spans and count
+as often as they stand; an added span never overlaps a base one; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +42,11 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9][\x20().0-9-]"}
 KINDS = (*PATTERNS, "generalise", "remove")
 TERM = r"\p{L}++"
+#: Stands for a letter of a base span, so that no word reaches into one.
+MASK = "\uffff"
 
 
-def places(text: Column, pattern: str) -> Column:
+def places(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches: array of (m, s, e), in code points; places come from what splits around them."""
 
     def fold(m: Column, g: Column) -> Column:
@@ -50,7 +59,8 @@ def places(text: Column, pattern: str) -> Column:
         start = F.struct(F.lit(0).alias("at"), none.alias("out"))
         return F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, step, lambda a: a.out)).otherwise(none)
 
-    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: bind(F.split(text, pattern, -1), lambda g: fold(m, g)))
+    by = F.lit(pattern)
+    return bind(F.regexp_extract_all(text, by, F.lit(0)), lambda m: bind(F.split(text, by, -1), lambda g: fold(m, g)))
 
 
 def _digits(m: Column) -> Column:
@@ -85,57 +95,96 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(of(k) for k in PATTERNS))
 
 
-def contexts(text: Column, base: Column, reach: int) -> Column:
-    """Array of (entity, term, s, e, near): whole words of three letters or more beside each span, clear of all spans."""
+def masked(text: Column, base: Column) -> Column:
+    """text with the letters of the spans replaced by MASK; places stay."""
+
+    def step(a: Column, x: Column) -> Column:
+        s, e = F.greatest(x.s, a.at), F.greatest(x.e, a.at)
+        own = F.regexp_replace(F.substring(text, s + 1, e - s), r"\p{L}", MASK)
+        return F.struct(e.alias("at"), F.concat(a.out, F.substring(text, a.at + 1, s - a.at), own).alias("out"))
+
+    order = F.array_sort(F.transform(base, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"))))
+    done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
+    return F.when(F.size(base) > 0, done).otherwise(text)
 
-    def side(x: Column, begin: Column, size: Column, cut_left: Column, cut_right: Column) -> Column:
-        def inner(part: Column) -> Column:
-            words = F.filter(places(part, TERM), lambda w: (F.length(w.m) > 2) & ~(cut_left & (w.s == 0)) & ~(cut_right & (w.e == F.length(part))))
-            return F.transform(words, lambda w: F.struct(F.concat_ws(":", x.kind, F.lower(x.m)).alias("entity"), F.lower(w.m).alias("term"), (begin + w.s).alias("s"), (begin + w.e).alias("e"), F.xxhash64(part).alias("near")))
 
-        return bind(F.substring(text, begin + 1, size), inner)
+def entity_names(base: Column) -> Column:
+    return F.array_distinct(F.transform(base, lambda x: F.concat_ws(":", x.kind, F.lower(x.m))))
 
-    def around(x: Column) -> Column:
-        left = F.greatest(x.s - reach, F.lit(0))
-        return F.concat(side(x, left, x.s - left, left > 0, F.lit(False)), side(x, x.e, F.lit(reach), F.lit(False), x.e + reach < F.length(text)))
 
-    found = F.flatten(F.transform(base, around))
-    clear = F.filter(found, lambda w: ~F.exists(base, lambda b: (b.s < w.e) & (w.s < b.e)))
-    return F.when(F.size(base) > 0, clear)
+def spoken(text: Column) -> Column:
+    """Distinct words of a text, lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.split(text, r"\P{L}++")), lambda w: F.lower(w)))
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int = 64) -> DataFrame:
-    """doc_id, h (text hash), base spans and contexts of every document."""
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, h (text hash), base spans, and of documents with a span all terms of three letters or more clear of spans."""
     t = F.col("text")
-    found = id_text(docs, text, key).select("doc_id", F.xxhash64("text").alias("h"), bind(base_spans(t), lambda b: F.struct(b.alias("base"), contexts(t, b, reach).alias("ctx"))).alias("f"))
-    return found.select("doc_id", "h", "f.base", "f.ctx")
+
+    def terms(base: Column) -> Column:
+        clear = F.regexp_extract_all(masked(t, base), F.lit(rf"(?<![\p{{L}}{MASK}]){TERM}(?!{MASK})"), F.lit(0))
+        return F.when(F.size(base) > 0, F.array_distinct(F.transform(F.filter(F.array_distinct(clear), lambda w: F.length(w) > 2), lambda w: F.lower(w))))
+
+    found = id_text(docs, text, key).select("doc_id", F.xxhash64("text").alias("h"), bind(base_spans(t), lambda b: F.struct(b.alias("base"), terms(b).alias("terms"))).alias("f"))
+    return found.select("doc_id", "h", "f.base", "f.terms")
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, text: str = "text", key: str = "doc_id", generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 3) -> DataFrame:
+def disclosures(docs: DataFrame, scanned: DataFrame, text: str = "text", key: str = "doc_id", generalise_at: float = 0.8, remove_at: float = 0.95, alpha: float = 0.05) -> DataFrame:
     """entity, term, share and action for all pairs that reach a threshold."""
     total = scanned.count()
-    entities = scanned.select("doc_id", "h", F.explode(F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b.kind, F.lower(b.m))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    near = scanned.select("doc_id", "h", F.explode("ctx").alias("c")).select("doc_id", "h", "c.entity", "c.term", "c.near")
-    each = near.groupBy("entity", "term", "doc_id", "h").agg(F.min("near").alias("near"))
-    pairs = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("near").alias("support")).filter(F.col("support") >= support)
-    pairs, _ = write_table(pairs, "pairs")
-    spoken = id_text(docs, text, key).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}++"))).alias("term"))
-    df = spoken.groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    texts = scanned.filter(F.size("base") > 0).groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.first(entity_names(F.col("base"))).alias("entities"), F.first("terms").alias("terms"))
+    each = texts.select("docs", "terms", F.explode("entities").alias("entity"))
+    pairs, _ = write_table(each.select("docs", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("docs").alias("c"), F.count(F.lit(1)).alias("k")), "pairs")
+    entities = each.groupBy("entity").agg(F.sum("docs").alias("df_e"), F.count(F.lit(1)).alias("n"))
+    df = id_text(docs, text, key).select(F.explode(spoken(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    df, _ = write_table(df, "terms")
+    tests = float(max(1, df.count()))
     ratio = F.log(F.col("c") * F.lit(float(total)) / (F.col("df_t") * F.col("df_e"))) / F.log(F.lit(float(total)) / F.col("df_e"))
     scored = pairs.join(df, "term").join(entities, "entity").withColumn("share", F.when(F.col("df_e") < total, ratio))
+    seen, among = F.col("df_t") - F.col("c") + F.col("k"), F.lit(float(total)) - F.col("df_e") + F.col("n")  # the entity's texts once each
+    held, rate, rest = F.col("k") / F.col("n"), seen / among, F.col("n") - F.col("k")
+    surprise = F.col("k") * F.log(held / rate) + F.when(rest > 0, rest * F.log((1 - held) / (1 - rate))).otherwise(0.0)
+    sure = (held > rate) & (surprise >= F.lit(math.log(tests / alpha)))
     action = F.when(F.col("share") >= remove_at, "remove").when(F.col("share") >= generalise_at, "generalise")
-    return scored.withColumn("action", action).filter("action is not null").select("entity", "term", "share", "action")
+    return scored.withColumn("action", F.when(sure, action)).filter("action is not null").select("entity", "term", "share", "action")
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", **thresholds: float) -> DataFrame:
     """doc_id, h, base and added (both arrays of kind, s, e, m; added by kind as listed, then place)."""
     scanned, _ = write_table(scan(docs, text, key), "personal")
-    told = disclosures(docs, scanned, text, key, **thresholds)
-    near = scanned.select("doc_id", "h", F.explode("ctx").alias("c")).select("doc_id", "h", "c.entity", "c.term", "c.s", "c.e")
-    hits = near.join(told, ["entity", "term"]).groupBy("doc_id", "h", "s", "e", "term").agg(F.max("action").alias("kind"))
-    added = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e", F.col("term").alias("m")))).alias("added"))
-    one, two = scanned.drop("ctx"), added.withColumnsRenamed({"doc_id": "d", "h": "dh"})
-    return one.join(two, one["doc_id"].eqNullSafe(two["d"]) & (one["h"] == two["dh"]), "left").select("doc_id", "h", "base", F.coalesce("added", F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>")).alias("added"))
+    told = disclosures(docs, scanned, text, key, **thresholds).groupBy("term").agg(F.max("action").alias("kind"))
+    told, _ = write_table(told, "told")
+    t, own = F.col("text"), id_text(docs, text, key).withColumn("h", F.xxhash64("text"))
+    each = own.select("doc_id", "h", F.explode(spoken(t)).alias("term")).filter(_may_be_in(told))
+    marks = each.join(told, "term").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_set(F.struct("term", "kind")).alias("told"))
+    marks, _ = write_table(marks, "marks")
+    hit = own.join(marks, own["doc_id"].eqNullSafe(marks["d"]) & (own["h"] == marks["dh"])).select("d", "dh", "text", F.map_from_entries("told").alias("told"))
+    placed = hit.select("d", "dh", marked(t, F.col("told")).alias("added")).groupBy("d", "dh").agg(F.first("added").alias("added"))
+    one = scanned.drop("terms")
+    return one.join(placed, one["doc_id"].eqNullSafe(placed["d"]) & (one["h"] == placed["dh"]), "left").select("doc_id", "h", "base", F.coalesce("added", F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>")).alias("added"))
+
+
+def _may_be_in(told: DataFrame) -> Column:
+    """False for most terms that told has not, true for all that it has: by one bit a term, so that few rows are shuffled."""
+    size = min(1 << 26, 1 << max(10, (8 * told.count()).bit_length()))
+    place = F.pmod(F.xxhash64("term"), F.lit(size))
+    slot, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    some = told.groupBy(slot.alias("id")).agg(F.bit_or(one).alias("bits"))
+    every = told.sparkSession.range(size // 64).join(some, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    bits = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x.bits).alias("bits"))
+    return F.get(bits.scalar(), slot.cast("int")).bitwiseAND(one) != 0
+
+
+def marked(text: Column, told: Column) -> Column:
+    """Array of (kind, s, e, m): where a text's words stand that, lower case, are keys of told; words in base spans stay."""
+    written = F.filter(F.array_distinct(F.split(text, r"\P{L}++")), lambda w: F.map_contains_key(told, F.lower(w)))
+    pattern = F.concat(F.lit(rf"(?<![\p{{L}}{MASK}])(?:"), F.array_join(written, "|"), F.lit(rf")(?![\p{{L}}{MASK}])"))
+
+    def named(x: Column) -> Column:
+        return F.struct(F.element_at(told, F.lower(x.m)).alias("kind"), x.s.alias("s"), x.e.alias("e"), F.lower(x.m).alias("m"))
+
+    return bind(masked(text, base_spans(text)), lambda clear: bind(pattern, lambda p: F.array_sort(F.transform(places(clear, p), named))))
 
 
 def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id", **thresholds: float) -> DataFrame:
