@@ -1,9 +1,9 @@
 """URL filter by a path-template tree per host [native].
 
 Explicit rules label the pages they fit. For each host the paths form a tree: variable segments (numbers, hashes,
-long ones) become wildcards by their shape, a node with many children has them replaced by one wildcard, and
-children whose share of blocked labels does not differ from their labelled siblings' (a two-proportion test) are
-merged into one branch. Pages without a rule get the verdict of their template: block if its share of blocked labels,
+long ones) become wildcards by their shape, and children whose share of blocked labels does not differ from their
+labelled siblings' (a two-proportion test) are merged into one branch, however many they are. The tree grows to the
+deepest path. Pages without a rule get the verdict of their template: block if its share of blocked labels,
 smoothed towards the overall rate, reaches `reject_at`.
 
 All of the tree's steps work on one row per host and path shape, so that a hot host is reduced before it is grouped;
@@ -16,6 +16,7 @@ as often as they stand; extra columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import write_table
 
 Rule = tuple[str, str]
-LEVELS = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,8 +44,8 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return text, verdict
 
 
-def shape(path: Column, levels: int = LEVELS) -> Column:
-    """Up to `levels` path segments with variable ones generalised, and {rest} for what follows."""
+def shape(path: Column) -> Column:
+    """Path segments with variable ones generalised."""
 
     def one(x: Column) -> Column:
         return (
@@ -57,28 +57,35 @@ def shape(path: Column, levels: int = LEVELS) -> Column:
             .otherwise(F.translate(x, _UPPER, _LOWER))
         )
 
-    parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
-    head = F.transform(F.slice(parts, 1, levels), one)
-    return F.when(F.size(parts) > levels, F.concat(head, F.array(F.lit("{rest}")))).otherwise(head)
+    return F.transform(F.filter(F.split(path, "/", -1), lambda x: x != ""), one)
 
 
-def templates(labelled: DataFrame, levels: int = LEVELS, most_children: int = 16, z: float = 1.96, pseudo: float = 4.0, reject_at: float = 0.5) -> DataFrame:
+def templates(labelled: DataFrame, z: float = 1.96, pseudo: float = 4.0, reject_at: float = 0.5) -> DataFrame:
     """host, shape, template, purity and verdict; labelled: host, shape (array) and rule verdict (null: none)."""
     blocked, allowed = (F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)) for v in ("block", "allow"))
-    now, _ = write_table(labelled.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), blocked.alias("b"), allowed.alias("a")).withColumn("template", F.array().cast("array<string>")), "paths")
-    for k in range(levels + 1):
+    grouped = labelled.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), blocked.alias("b"), allowed.alias("a"))
+    now, _ = write_table(grouped.withColumn("template", F.array().cast("array<string>")), "paths")
+    done, k = [], 0
+    while True:
         seg = F.get("shape", F.lit(k))
-        children = now.groupBy("host", "template", seg.alias("seg")).agg(F.sum("b").alias("cb"), F.sum(F.col("b") + F.col("a")).alias("cn"))
-        node = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k"), F.sum("cb").alias("pb"), F.sum("cn").alias("pn"))
+        children = now.groupBy("host", "template", seg.alias("seg")).agg(F.sum("b").alias("cb"), F.sum(F.col("b") + F.col("a")).alias("cn"), F.count(F.lit(1)).alias("shapes"))
+        node = children.groupBy("host", "template").agg(F.sum("shapes").alias("own"), F.sum("cb").alias("pb"), F.sum("cn").alias("pn"))
         share = F.col("pb") / F.col("pn")
         spread = F.sqrt(share * (1 - share) * (1 / F.col("cn") + 1 / F.col("pn")))
-        alike = F.col("cn").isNotNull() & (F.col("cn") > 0) & (F.abs(F.col("cb") / F.col("cn") - share) <= z * spread)
-        wild = F.when(F.col("seg").isNull(), F.lit(None)).when((F.col("k") > most_children) | F.when(F.col("cn") > 0, alike).otherwise(False), "*").otherwise(F.col("seg"))
-        kept = children.join(node, ["host", "template"]).select("host", "template", "seg", wild.alias("as"))
+        alike = F.abs(F.col("cb") / F.col("cn") - share) <= z * spread
+        wild = F.when(F.col("seg").isNull(), F.lit(None)).when(F.when(F.col("cn") > 0, alike).otherwise(False), "*").otherwise(F.col("seg"))
+        kept = children.join(node, ["host", "template"]).select("host", "template", "seg", wild.alias("as"), "own")
         left = now.withColumn("seg", seg).alias("l")
         joined = left.join(kept.alias("r"), (F.col("l.host") == F.col("r.host")) & (F.col("l.template") == F.col("r.template")) & F.col("l.seg").eqNullSafe(F.col("r.seg")))
-        grown = F.when(F.col("r.as").isNull(), F.col("l.template")).otherwise(F.array_append("l.template", F.col("r.as")))
-        now, _ = write_table(joined.select("l.host", "l.shape", "l.n", "l.b", "l.a", grown.alias("template")), "paths")
+        alone = F.transform(F.slice("l.shape", k + 1, F.greatest(F.size("l.shape") - k, F.lit(0))), lambda x: F.when(F.col("l.b") + F.col("l.a") > 0, "*").otherwise(x))  # as the steps below would
+        grown = F.when(F.col("r.own") == 1, F.concat("l.template", alone)).when(F.col("r.as").isNull(), F.col("l.template")).otherwise(F.array_append("l.template", F.col("r.as")))
+        more = (F.col("r.own") > 1) & (F.size("l.shape") > k)
+        level, _ = write_table(joined.select("l.host", "l.shape", "l.n", "l.b", "l.a", grown.alias("template"), more.alias("more")), "paths")
+        done.append(level.filter("not more").drop("more"))
+        now, k = level.filter("more").drop("more"), k + 1
+        if now.isEmpty():
+            break
+    now, _ = write_table(reduce(DataFrame.unionByName, done), "paths")
     total = now.agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
     rate = float(total.b or 0) / max(1, total.n or 0)
     purity = (F.sum("b") + F.lit(pseudo * rate)) / (F.sum(F.col("b") + F.col("a")) + F.lit(pseudo))

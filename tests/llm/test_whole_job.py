@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alertframe.llm import pii
+from alertframe.llm import pii, url_filter
 
 from .helpers import frame
 
@@ -22,3 +22,22 @@ def test_rare_and_far_disclosures(spark):
     at = rows[90][1].index("zebra")
     want = {(i, "quokka", 0, 6, "remove") for i in (7, None)} | {(20 + i, "zebra", 0, 5, "remove") for i in range(5)} | {(90, "zebra", at, at + 5, "remove")}
     assert {x for x in added if x[1] != "wombat"} == want
+
+
+def test_wide_and_deep_branches(spark):
+    """More than 16 children under a host, and branches that differ from the sixth segment on."""
+    tails = [f"{w}/{k}" for w in ("buy", "read") for k in range(100, 140)]
+    wide = [f"http://w.com/s{chr(97 + c)}/{t}" for c in range(20) for t in tails]
+    deep = [f"http://d.com/p/q/r/s/t/{c}/{t}" for c in ("bad", "good") for t in tails]
+    rules = [("block" if c < 10 else "allow", f"w.com/s{chr(97 + c)}/buy") for c in range(20)]
+    rules += [("block", "d.com/p/q/r/s/t/bad/buy"), ("allow", "d.com/p/q/r/s/t/good/buy")]
+    df = spark.createDataFrame(list(enumerate(wide + deep)), "page_id long, url string")
+    blocked = {f"/s{chr(97 + c)}/" for c in range(10)}
+    got = url_filter.judge(df, rules).collect()
+    assert len(got) == len(wide + deep)
+    found = {(r.host, r.path): r.template for r in got}
+    for r in got:
+        if r.host == "d.com":
+            assert ("/bad/" in r.path) == ("bad" in r.template.split("/")) and "{rest}" not in r.template
+        elif any(r.path.startswith(b) for b in blocked):
+            assert found[r.host, r.path].startswith(r.path[:4])
