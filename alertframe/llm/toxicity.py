@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels are per document. Token labels come from the corpus: over all labelled training rows, a term is toxic if it
-stands in at least `min_share` of the toxic documents and `precision` of the documents that have it are toxic; in
-toxic documents its tokens are labelled 1, all other tokens 0. A two-state chain is fitted to a bounded sample of
+stands in at least `min_docs` toxic documents and `precision` of the documents that have it are toxic (as if the
+classes were equally large); in toxic documents its tokens are labelled 1, all other tokens 0. Tokens are labelled in
+the sample alone, so the terms of its toxic documents, all of them, are the ones counted. A two-state chain is fitted to a bounded sample of
 labelled documents (`sample` of each class, by hash order) by gradient ascent on the exact likelihood; its features
 are each token's word and its first six bytes, hashed, and the transitions. Forward-backward then gives every token
 of a text its marginal probability; tokens at or above one half make the offending spans, and a logistic function of
@@ -164,60 +165,49 @@ def fit_head(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50,
     return w
 
 
-def _frequencies(docs: DataFrame, terms: np.ndarray | None, least: int) -> DataFrame:
-    """term, tox, clean: documents that have the term, over (toxic, text) rows; terms None: terms of toxic rows."""
+def _frequencies(docs: DataFrame, terms: np.ndarray, least: int) -> DataFrame:
+    """term, tox, clean: documents that have the term, over (toxic, text) rows, of the terms that `least` toxic ones have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.empty(0, U64) if terms is None else terms
-        counts = np.zeros((2, len(keys)), np.int64)
-        for b in pieces(batches, "text"):
+        counts = np.zeros((2, len(terms)), np.int64)
+        for b in pieces(batches, "text") if len(terms) else ():
             toxic = b.column(0).to_numpy()
             starts, ends, first = words(*(d := utf8(b.column(1))), ALNUM)
             t = fingerprints(d[0], starts, ends, _VALUES)
             doc = np.repeat(np.arange(b.num_rows), np.diff(first))
-            if terms is None:
-                new = np.unique(t)
-                grown = np.union1d(keys, new)
-                more = np.zeros((2, len(grown)), np.int64)
-                more[:, np.searchsorted(grown, keys)] = counts
-                keys, counts = grown, more
-            at = np.searchsorted(keys, t)
-            known = (at < len(keys)) & (keys[np.minimum(at, max(0, len(keys) - 1))] == t) if len(keys) else np.zeros(len(t), bool)
+            at = np.searchsorted(terms, t)
+            known = terms[np.minimum(at, len(terms) - 1)] == t
             code = np.unique(at[known] * b.num_rows + doc[known])
             hit, of = code // b.num_rows, toxic[code % b.num_rows]
-            counts[0] += np.bincount(hit[of == 1], minlength=len(keys))
-            counts[1] += np.bincount(hit[of == 0], minlength=len(keys))
+            counts[0] += np.bincount(hit[of == 1], minlength=len(terms))
+            counts[1] += np.bincount(hit[of == 0], minlength=len(terms))
         some = counts.sum(axis=0) > 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["term", "tox", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(terms[some].view(np.int64)), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["term", "tox", "clean"])
 
     return docs.select("toxic", "text").mapInArrow(run, "term long, tox long, clean long").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")).filter(F.col("tox") >= least)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, min_share: float = 0.01, precision: float = 0.8, sample: int = 1500, candidates: int = 20_000, min_docs: int = 3) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, precision: float = 0.8, sample: int = 1500, min_docs: int = 3) -> Model | None:
     """A model from the labelled rows for which `train` (a condition on doc_id) holds.
 
-    sample bounds the documents of each class that the chain is fitted to, candidates the terms looked at (those in
-    most toxic documents); counts are over all training rows.
+    sample bounds the documents of each class that the chain is fitted to; counts are over all training rows.
     """
     known = labels.filter(F.col("toxic").isNotNull()).filter(train if train is not None else F.lit(True)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_tox, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_tox or not n_clean:
         return None
-    least = max(min_docs, int(min_share * n_tox))
     few = n_tox + n_clean <= BROADCAST_LABELS
     rows = id_text(docs).join(F.broadcast(known) if few else known, "doc_id").select("doc_id", "toxic", "text")
     rows = rows if few else write_table(rows, "labelled")[0]  # the texts are shuffled once, not once a pass
-    top = _frequencies(rows.filter("toxic = 1"), None, least).orderBy(F.desc("tox"), "term").limit(candidates).toPandas()
-    keys = np.sort(top["term"].to_numpy(np.int64).view(U64))
-    seen = _frequencies(rows, keys, least).toPandas()
-    tox, clean = seen["tox"] / n_tox, seen["clean"] / n_clean  # rates: as if the classes were equally large
-    good = tox >= precision * (tox + clean)
-    lexicon = np.sort(seen["term"][good].to_numpy(np.int64).view(U64))
     taken = [_first(rows.filter(F.col("toxic") == k), n, sample) for k, n in ((0, n_clean), (1, n_tox))]
     taken = pa.concat_tables(taken).combine_chunks()
     toxic = taken.column("toxic").to_numpy()
     c = chains(*utf8(taken.column("text")))
+    seen = _frequencies(rows, np.unique(c.terms[toxic[c.doc] == 1]), min_docs).toPandas()
+    tox, clean = seen["tox"] / n_tox, seen["clean"] / n_clean  # rates: as if the classes were equally large
+    good = tox >= precision * (tox + clean)
+    lexicon = np.sort(seen["term"][good].to_numpy(np.int64).view(U64))
     tokens = np.isin(c.terms, lexicon) & (toxic[c.doc] == 1)
     m = fit_chain(c, tokens)
     x = document_features(marginals(m, c), c, len(toxic))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from alertframe.llm import pii, url_filter
+import random
+
+from alertframe.llm import pii, toxicity, url_filter
 
 from .helpers import frame
 
@@ -41,3 +43,16 @@ def test_wide_and_deep_branches(spark):
             assert ("/bad/" in r.path) == ("bad" in r.template.split("/")) and "{rest}" not in r.template
         elif any(r.path.startswith(b) for b in blocked):
             assert found[r.host, r.path].startswith(r.path[:4])
+
+
+def test_rare_toxic_terms(spark):
+    """A term in under 1 % of the toxic documents is a toxic token too."""
+    r = random.Random(3)
+    line = lambda: " ".join(f"word{r.randint(0, 99)}" for _ in range(12))
+    bad = lambda i: "seldomslur" if i < 4 else "oftenslur"
+    rows = [(i, f"{line()} {bad(i)} {line()}", "", "", 0) for i in range(600)] + [(1000 + i, f"{line()} {line()}", "", "", 0) for i in range(600)]
+    labels = spark.createDataFrame([(x[0], int(x[0] < 1000)) for x in rows], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    texts = ["word1 word2 seldomslur word3", "word1 word2 oftenslur word3", "word1 word2 word3"]
+    got = {x.doc_id: x.spans for x in toxicity.score(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]), model).collect()}
+    assert [got[i] for i in range(3)] == ["12:22", "12:21", ""]
