@@ -247,6 +247,11 @@ def _rest(buckets: DataFrame, comp: DataFrame, texts: DataFrame, threshold: floa
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per document: doc_id, class_id (least doc_id of its near-duplicate class) and copy_of (of its exact copies)."""
+    return _classes(docs, text, key, threshold, k, bands, rows).select("doc_id", "class_id", "copy_of")
+
+
+def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates, and of each document its text's hash (node) and whether it stands for its class (main)."""
     signed = signatures(docs, text, key, k, bands, rows)
     every, _ = write_table(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "texts")
     named = every.filter(F.size("bands") > 0)
@@ -267,20 +272,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         if not found.isEmpty():
             comp, _ = write_table(components(links.unionByName(found)), "components")
     classed = every.join(comp, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"), (F.size("bands") == 0).alias("blank"))
-    least = classed.groupBy("comp").agg(F.min("doc").alias("class_id"))
-    names = classed.join(least, "comp").select("node", F.col("doc").alias("copy_of"), "class_id", "blank")
+    least = classed.groupBy("comp").agg(F.min("doc").alias("class_id"), F.min(F.struct(F.col("doc").isNull(), "doc", "node")).alias("least"))
+    names = classed.join(least, "comp").select("node", F.col("doc").alias("copy_of"), "class_id", "blank", (F.col("node") == F.col("least.node")).alias("first"))
     ids = id_text(docs, text, key).select("doc_id", F.unhex(F.md5("text")).alias("node"))
     own = F.col("blank")
-    return ids.join(names, "node").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"))
+    main = own | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("copy_of")))
+    named = [F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "copy_of")]
+    return ids.join(names, "node").select("doc_id", *named, "node", main.alias("main"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each class: the one that names it (a repeated row of it: once); all columns stay."""
-    found, _ = write_table(near_duplicates(docs, text), "classes")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__d"))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]), "left_anti")
-    again = found.groupBy(F.col("doc_id").alias("__d")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d")
+    """docs with one document of each class: the one that names it (a repeated row of it: once); all columns stay.
+
+    Rows are known by doc_id and text, since ids may be null or repeat.
+    """
+    found, _ = write_table(_classes(docs, text), "classes")
+    named = found.select(F.col("doc_id").alias("__d"), F.col("node").alias("__n"), "main")
+    same = lambda left, right: left["doc_id"].eqNullSafe(right["__d"]) & (F.unhex(F.md5(F.coalesce(left[text], F.lit("")))) == right["__n"])
+    gone = named.filter(~F.col("main")).select("__d", "__n")
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    again = named.filter("main").groupBy("__d", "__n").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d", "__n")
     if again.isEmpty():
         return kept
-    same = kept["doc_id"].eqNullSafe(again["__d"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", text]))
+    return kept.join(again, same(kept, again), "left_anti").unionByName(kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", text]))

@@ -214,10 +214,14 @@ def _search_block(index: DataFrame, asked: DataFrame, size: int, proximity: int)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs without the rows that share a window of `size` words with the benchmark; all columns stay."""
-    found = search(build_index(docs), benchmark, size)
+    """docs without the rows that share a window of `size` words with the benchmark; all columns stay.
+
+    Rows are known by a hash of doc_id and text, since ids may be null or repeat.
+    """
+    own = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    found = search(build_index(docs.select(own.alias("doc_id"), "text")), benchmark, size)
     bad = found.filter("n_hit > 0").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]), "left_anti")
+    return docs.join(bad, own == bad["__d"], "left_anti")
 
 
 ORACLE = r"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
-from alertframe.llm import pii, toxicity, url_filter
+from alertframe.llm import bag_minhash, pii, positional_index, toxicity, url_filter
 
 from .helpers import frame
 
@@ -56,3 +57,21 @@ def test_rare_toxic_terms(spark):
     texts = ["word1 word2 seldomslur word3", "word1 word2 oftenslur word3", "word1 word2 word3"]
     got = {x.doc_id: x.spans for x in toxicity.score(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]), model).collect()}
     assert [got[i] for i in range(3)] == ["12:22", "12:21", ""]
+
+
+def test_null_and_repeated_ids_stay_apart(spark):
+    r = random.Random(5)
+    text = lambda n=80: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    base, passage = text(), text(12)
+    clean = [(None, text()), (None, text()), (3, text()), (4, text())]
+    near = [(1, base), (None, base + " end"), (3, base + " tail")]
+    rows = [(i, t, "", "", 0) for i, t in clean + near]
+    kept = bag_minhash.drop_near_duplicates(frame(spark, rows)).collect()
+    assert Counter((x.doc_id, x.text) for x in kept) == Counter([*clean, near[0]])
+    tied = [(9, base), (9, base + " end"), (None, text())]
+    kept = bag_minhash.drop_near_duplicates(frame(spark, [(i, t, "", "", 0) for i, t in tied])).collect()
+    assert len(kept) == 2 and {x.doc_id for x in kept} == {9, None}
+    hit = [(None, f"{text()} {passage}"), (4, f"{passage} {text()}")]
+    items = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    left = positional_index.decontaminate(frame(spark, [(i, t, "", "", 0) for i, t in clean + hit]), items).collect()
+    assert Counter((x.doc_id, x.text) for x in left) == Counter(clean)
