@@ -6,9 +6,10 @@ most `size` - 1 counts, and a plan of fillings (a filling: lengths that share a
 is made from that: its size is bounded by `size`, never by the number of documents. Pieces then find their place
 from their rank among the pieces of their length.
 
-Plan: branch and bound. The largest length left is completed by the undominated fillings around it, fullest first,
-each used as often as its lengths last; a branch ends when its waste so far rules out beating the incumbent. The
-incumbent starts as best-fit decreasing.
+Plan: branch and bound. The largest length left is completed by the undominated fillings around it, of any number of
+pieces, the fullest of the fewest pieces first; a branch ends when its waste rules out beating the incumbent. Incumbents are best-fit decreasing
+plans, of the whole and now and then of what a branch has left. If the search's nodes run out, the incumbent stands;
+over_bound states how many sequences it has above the lower bound (0: it is proven best).
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed one by one; a null doc_id is
 kept; other columns are ignored; an empty table gives no pieces.
@@ -16,6 +17,7 @@ kept; other columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -100,95 +102,138 @@ def best_fit_decreasing(counts: np.ndarray, size: int) -> Plan:
     return [g for groups in room for g in groups]
 
 
-def _fits(items: tuple[int, ...], into: tuple[int, ...]) -> bool:
-    """Whether the items can be shared out among bins as large as the lengths in `into`."""
-    if not items:
-        return True
-    for k in range(len(into)):
-        if into[k] >= items[0] and into[k] not in into[:k] and _fits(items[1:], (*into[:k], into[k] - items[0], *into[k + 1 :])):
-            return True
-    return False
-
-
-def fillings(counts: np.ndarray, room: int, most: int = 3, keep: int = 6) -> list[tuple[int, ...]]:
-    """The best undominated sets of up to `most` lengths that fit `room`, fullest first, then fewest and largest."""
-    have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    found: list[tuple[int, ...]] = [(int(have[-1]),)]
-    if most >= 2 and len(have):
-        for take in range(2, most + 1):
-            heads: list[tuple[int, ...]] = [()]
-            if take == 3:
-                heads = [(int(a),) for a in have[::-1][:48] if a < room]
-            for head in heads:
-                left = room - sum(head)
-                one = have[(have < left) & (have <= (head[-1] if head else room))]
-                two = np.searchsorted(have, np.minimum(left - one, one), "right") - 1
-                ok = two >= 0
-                one, two = one[ok], have[two[ok]]
-                if len(one):
-                    best = np.argsort(-(one + two), kind="stable")[:2]
-                    found += [(*head, int(one[k]), int(two[k])) for k in best]
-    usable = []
-    for f in dict.fromkeys(found):
-        need = np.bincount(f, minlength=len(counts))
-        if (need <= counts[: len(need)]).all():
-            usable.append(f)
-    usable.sort(key=lambda f: (sum(f) - room, len(f), [-x for x in f]))
-    out: list[tuple[int, ...]] = []
-    for f in usable[: 4 * keep]:
-        if not any(_fits(f, g) for g in out):
-            out.append(f)
-        if len(out) == keep:
-            break
-    return out or [()]
-
-
-def plan_bins(counts: np.ndarray, size: int = 1024, nodes: int = 2000) -> Plan:
+def lower_bound(counts: np.ndarray, size: int) -> int:
+    """Sequences that any packing needs: all lengths above size - k alone, those above size / 2 apart, and what lengths of
+    k and more don't find room for beside them, at its largest over k."""
+    lengths = np.arange(len(counts))
+    amount = np.cumsum(counts * lengths)  # tokens in lengths up to each
+    number = np.cumsum(counts)
+    best, half = 0, size // 2
+    for k in range(half + 1):
+        alone = int(number[-1] - number[size - k])
+        apart = int(number[size - k] - number[half])
+        room = apart * size - int(amount[size - k] - amount[half])
+        small = int(amount[half] - (amount[k - 1] if k else 0))
+        best = max(best, alone + apart + max(0, -(-(small - room) // size)))
+    return best
+
+
+class Completions:
+    """The undominated fillings of a room, lazily.
+
+    A filling is dominated if a length that it leaves out could take the place of some of its pieces, or stand beside
+    them, in the same room: the pieces it displaces would then fit wherever that one would have gone.
+    """
+
+    def __init__(self, counts: np.ndarray, room: int, steps: list[int]) -> None:
+        """steps[0] is what the search may still spend; enumeration ends when it is used up."""
+        self.steps = steps
+        self.lengths, self.room = [int(x) for x in np.flatnonzero(counts[: room + 1]) if x], room
+        self.left = {x: int(counts[x]) for x in self.lengths}
+        self.spare = sum(1 << x for x in self.lengths)
+        self.sums = [1]  # sums[p]: bit s is set if p pieces, however often a length is used, can make s
+
+    def _may(self, p: int, total: int) -> bool:
+        while len(self.sums) <= p:
+            bits = 0
+            for x in self.lengths:
+                bits |= self.sums[-1] << x
+            self.sums.append(bits & (1 << self.room + 1) - 1)
+        return bool(self.sums[p] >> total & 1)
+
+    def within(self, waste: int, price: int) -> Iterator[tuple[int, ...]]:
+        """Fillings that waste no more, by their waste and `price` for each piece: small pieces are what later bins lack."""
+        waste, most = min(waste, self.room), self.room // self.lengths[0] if self.lengths else 0
+        for cost in range(waste + price * most + 1):
+            if self.steps[0] <= 0:
+                return
+            for p in range(min(most, cost // price) + 1):
+                lost = cost - price * p
+                if lost <= waste and self._may(p, self.room - lost):
+                    yield from self._exact(self.room - lost, p, len(self.lengths), (), 1, 0, self.spare, lost)
+
+    def _exact(self, total: int, p: int, k: int, taken: tuple[int, ...], any_: int, many: int, spare: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """p more pieces, of the first k lengths. any_, many: sums of subsets of taken, and of two or more of them; spare:
+        lengths that are left over."""
+        self.steps[0] -= 1
+        if not p:
+            if not any(any_ << w & spare for w in range(1, waste + 1)):
+                yield taken
+            return
+        for j in range(bisect.bisect_right(self.lengths, total, 0, k) - 1, -1, -1):
+            x = self.lengths[j]
+            if x * p < total or self.steps[0] <= 0:
+                return
+            used = taken.count(x) + 1
+            if used > self.left[x] or not self._may(p - 1, total - x):
+                continue
+            now = many | (any_ ^ 1) << x
+            over = spare & ~(1 << x) if used == self.left[x] else spare
+            if not now & over:  # else all that hold these are dominated
+                yield from self._exact(total - x, p - 1, j + 1, (*taken, x), any_ | any_ << x, now, over, waste)
+
+
+def plan_bins(counts: np.ndarray, size: int = 1024, nodes: int = 30_000) -> Plan:
     """Fillings with their times for counts[length] pieces of each length, by bin completion.
 
-    nodes bounds the search; when it is used up, the incumbent stands.
+    For numbers of sequences at the lower bound and 1, 2, 4, ... above it, below the incumbent's, the waste that each
+    allows bounds a search. Every undominated filling, and every number of times down from the most, is tried in turn; bin packing
+    being NP-hard, a number is given up after `nodes` steps, and lower_bound() tells how far off the result may be.
     """
     counts = np.asarray(counts, np.int64)
-    total = int((counts * np.arange(len(counts))).sum())
-    least = max(-(-total // size), int(counts[size // 2 + 1 :].sum()))  # no two lengths over half share a sequence
-    best = best_fit_decreasing(counts, size)
-    bins = sum(t for _, t in best)
+    best, least = best_fit_decreasing(counts, size), lower_bound(counts, size)
+    most, above = sum(t for _, t in best), 0
+    while least + above < most:
+        for price in (size // 100 + 1, size // 32 + 1):  # two orders of trying
+            if plan := _search(counts, size, least + above, nodes, price):
+                return plan
+        above = max(1, 2 * above)
+    return best
+
 
-    def children(c: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
+def _search(counts: np.ndarray, size: int, bins: int, nodes: int, price: int) -> Plan | None:
+    """A plan of that many bins."""
+    steps = [nodes]
+    allowed = bins * size - int((counts * np.arange(len(counts))).sum())
+
+    def children(c: np.ndarray, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
         top = int(np.flatnonzero(c)[-1])
-        c = c.copy()
-        c[top] -= 1
-        for f in fillings(c, size - top):
+        rest = c.copy()
+        rest[top] -= 1
+        for f in Completions(rest, size - top, steps).within(waste, price):
             need = np.bincount((top, *f), minlength=len(c))
-            c[top] += 1
-            times = int((c[need > 0] // need[need > 0]).min())
-            c[top] -= 1
-            yield (top, *f), times
-
-    # depth first: counts left, plan so far, its bins and waste, fillings left to try
-    stack: list[tuple[np.ndarray, Plan, int, int, Iterator]] = [(counts, [], 0, 0, children(counts))] if total else []
-    while stack and bins > least and nodes:
-        c, plan, used, waste, rest = stack[-1]
+            lost = size - top - sum(f)
+            most = int((c[need > 0] // need[need > 0]).min())
+            for times in range(min(most, waste // lost) if lost else most, 0, -1):
+                yield (top, *f), times
+
+    if allowed < 0:
+        return None
+    stack = [(counts, allowed, children(counts, allowed))]  # depth first: counts left, waste left, fillings to try
+    plan: Plan = []
+    tried = 0
+    while stack and steps[0] > 0:
+        c, waste, rest = stack[-1]
         step = next(rest, None)
         if step is None:
             stack.pop()
+            del plan[len(stack) - 1 :]
             continue
-        nodes -= 1
+        tried, steps[0] = tried + 1, steps[0] - 10
+        del plan[len(stack) - 1 :]
+        plan.append(step)
         f, times = step
-        wasted = waste + times * (size - sum(f))
-        if -(-(total + wasted) // size) >= bins:  # waste bound
-            continue
         left = c.copy()
         np.subtract.at(left, list(f), times)
-        now = [*plan, (f, times)]
         if not left.any():
-            best, bins = now, used + times
-        else:
-            stack.append((left, now, used + times, wasted, children(left)))
-    return best
+            return plan
+        waste -= times * (size - sum(f))
+        if tried % 64 == 0:  # a best-fit finish may do already
+            finish = best_fit_decreasing(left, size)
+            if sum(t for _, t in plan) + sum(t for _, t in finish) <= bins:
+                return plan + finish
+        stack.append((left, waste, children(left, waste)))
+    return None
 
 
 def place_table(plan: Plan) -> tuple[np.ndarray, ...]:
@@ -215,7 +260,9 @@ def pack(docs: DataFrame, size: int = 1024, end_id: int = 2, vocab: str | None =
     counts = np.zeros(size + 1, np.int64)
     for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # size - 1 rows at most
         counts[r.length] = r.n
-    length, first, per_bin, first_bin, offset = place_table(plan_bins(counts, size))
+    plan = plan_bins(counts, size)
+    over = sum(t for _, t in plan) - lower_bound(counts, size)
+    length, first, per_bin, first_bin, offset = place_table(plan)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     full = cut.filter(F.col("length") == size).select(
@@ -233,4 +280,4 @@ def pack(docs: DataFrame, size: int = 1024, end_id: int = 2, vocab: str | None =
             bins, slot = first_bin[k] + q // per_bin[k], q % per_bin[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(2 * bins), pa.array(offset[k] + slot * size_of)], names=[f.split()[0] for f in PACKED.split(", ")])
 
-    return ranked.mapInArrow(run, PACKED).unionByName(full)
+    return ranked.mapInArrow(run, PACKED).unionByName(full).withColumn("over_bound", F.lit(over).cast("long"))
