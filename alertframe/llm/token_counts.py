@@ -9,6 +9,9 @@ Texts are cut where the pre-tokeniser always cuts (tokens.unit_starts); each dis
 worker. A text's table is its units' tables on top of each other's totals: counts at all its prefixes, from which
 truncation (longest prefix within a budget) and budget questions are answered without encoding again.
 
+The work is linear in a text's length: a step looks back no further than the longest token with its last two bytes,
+and a run of white space is walked once for all its prefixes. Long pieces are kept within a budget of counts.
+
 Defined results: null is empty text with 0 tokens; prefixes end at code points; a special string in a text is its one
 token, and the ordinary tokens of what is there while it is incomplete.
 """
@@ -44,9 +47,9 @@ def _alphabet() -> dict[str, int]:
 
 
 class PrefixCounter:
-    """Prefix tables for one byte-level tokenizers file; keeps up to `keep` units."""
+    """Prefix tables for one byte-level tokenizers file; keeps up to `keep` units, and `room` counts of units and of pieces."""
 
-    def __init__(self, path: str, keep: int = 1_500_000) -> None:
+    def __init__(self, path: str, keep: int = 1_500_000, room: int = 1 << 24) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -55,15 +58,18 @@ class PrefixCounter:
         self.id_of = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.name_of = {i: t for t, i in spec["model"]["vocab"].items()}
         self.char = {b: c for c, b in byte.items()}
-        self.longest = max(map(len, self.id_of))
+        self.reach: dict[bytes, int] = {}  # last two bytes -> the longest token that ends in them
+        for t in self.id_of:
+            self.reach[t[-2:]] = max(self.reach.get(t[-2:], 1), len(t))
         self.added = [t["content"] for t in spec["added_tokens"]]
         tok = Tokenizer.from_file(path)
         self.cutter, self.model = tok.pre_tokenizer, tok.model
-        self.keep, self.beside, self.pieces = keep, {}, {}
+        self.keep, self.room, self.beside, self.pieces = keep, room, {}, {}
         self._reset()
 
     def _reset(self) -> None:
         self.pieces.clear()
+        self.held = 0  # counts in pieces
         self.units, self.n, self.filled = Lookup(), 0, 0
         self.at, self.lens, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, np.int32)
 
@@ -85,9 +91,11 @@ class PrefixCounter:
         if raw in self.pieces:
             return self.pieces[raw]
         last, count = [-1], [0]
+        id_of, reach = self.id_of, self.reach
         for i in range(1, len(raw) + 1):
-            for j in range(max(0, i - self.longest), i):  # longest token first
-                t = self.id_of.get(raw[j:i])
+            far = reach.get(raw[max(0, i - 2) : i], 1)
+            for j in range(max(0, i - far), i):  # longest token first
+                t = id_of.get(raw[j:i])
                 if t is not None and last[j] != -2 and (self._alone(t) if j == 0 else self._stand(last[j], t)):
                     last.append(t)
                     count.append(count[j] + 1)
@@ -95,10 +103,12 @@ class PrefixCounter:
             else:  # no token ends here that way: not so for byte-level vocabularies
                 last.append(-2)
                 count.append(len(self.merge("".join(self.char[c] for c in raw[:i]))))
-        if len(raw) <= 64:
-            if len(self.pieces) > self.keep:
+        if len(raw) < self.room // 16:
+            if self.held > self.room:
                 self.pieces.clear()
+                self.held = 0
             self.pieces[raw] = count
+            self.held += len(count) + 16
         return count
 
     def _alone(self, t: int) -> bool:
@@ -113,50 +123,54 @@ class PrefixCounter:
             at = self.piece(text.encode())
             return at[1:] if text.isascii() else [at[len(text[:k].encode())] for k in range(1, len(text) + 1)]
         out: list[int] = []
-        base = 0
-        blank = 0  # count where the current run of white space began
-        run = ""
-        for _, (a, b) in self.cutter.pre_tokenize_str(text):
-            piece = text[a:b]
-            at = self.piece(piece.encode())
-            if _blank(piece):
-                if not run:
-                    blank = base
-                for c in piece:  # a prefix that ends in white space has it as one piece
-                    run += c
-                    out.append(blank + self.piece(run.encode())[-1])
-            elif piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # a contraction is one piece only when complete
-                run = ""
+        base, k = 0, 0
+        parts = [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
+        while k < len(parts):
+            run = k
+            while run < len(parts) and _blank(parts[run]):
+                run += 1
+            if run > k:  # a prefix that ends in white space has all of it, a next word's blank too, as one piece
+                lead = " " if run < len(parts) and parts[run][0] == " " else ""
+                own = "".join(parts[k:run])
+                at, b = self.piece((own + lead).encode()), 0
+                for c in own + lead:
+                    b += len(c.encode())
+                    out.append(base + at[b])
+                base += sum(self.piece(p.encode())[-1] for p in parts[k:run])
+            if run == len(parts):
+                break
+            piece, start = parts[run], int(run > k and parts[run][0] == " ")
+            at, b = self.piece(piece.encode()), start
+            if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # a contraction is one piece only when complete
                 sign = self.piece(b"'")[-1]
                 out.append(base + sign)
-                out += [base + sign + self.piece(piece[1:k].encode())[-1] for k in range(2, len(piece))]
+                out += [base + sign + self.piece(piece[1:i].encode())[-1] for i in range(2, len(piece))]
                 out.append(base + at[-1])
             else:
-                if run and piece[0] == " ":
-                    out.append(blank + self.piece((run + " ").encode())[-1])
-                    start = 1
-                else:
-                    start = 0
-                run, b = "", start
                 for c in piece[start:]:
                     b += len(c.encode())
                     out.append(base + at[b])
-            base += at[-1]
+            base, k = base + at[-1], run + 1
         return out
 
     def table(self, text: str) -> list[int]:
         """Counts at the code point prefixes 1, 2, ..., len(text)."""
-        found = sorted((text.find(a), a) for a in self.added if a in text)
-        if not found:
-            return self._ordinary(text)
-        at, special = found[0]
-        head = self._ordinary(text[: at + len(special)])
-        here = (head[at - 1] if at else 0) + 1
-        return [*head[: at + len(special) - 1], here, *(here + c for c in self.table(text[at + len(special) :]))]
+        out: list[int] = []
+        base = start = 0
+        while True:
+            found = min(((at, a) for a in self.added if (at := text.find(a, start)) >= 0), default=None)
+            if found is None:
+                return out + [base + c for c in self._ordinary(text[start:])] if start < len(text) else out
+            at, special = found
+            head = self._ordinary(text[start : at + len(special)])  # what is there while the special string is incomplete
+            out += [base + c for c in head[:-1]]
+            base += (head[at - start - 1] if at > start else 0) + 1
+            out.append(base)
+            start = at + len(special)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units' tables: for each unit its place and length in `pool`; and each document's first unit (n + 1)."""
-        if self.n > self.keep:
+        if self.n > self.keep or self.filled > self.room:
             self._reset()
         if not len(data):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
