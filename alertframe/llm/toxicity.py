@@ -9,8 +9,10 @@ are each token's word and its first six bytes, hashed, and the transitions. Forw
 of a text its marginal probability; tokens at or above one half make the offending spans, and a logistic function of
 the largest marginal, their sum, their mean and the toxic tokens' number is the document's score.
 
-Chains are lines, cut after `CHAIN` tokens; all chains of a batch advance together in numpy. The model is of fixed
-size. Inputs of a score are the text's words alone.
+Chains are lines, of any length. All tokens of a batch are one sequence of 2 x 2 steps in which a chain's first step
+forgets what was before it; the sequence is cut into stretches of `STRETCH` steps that advance together in numpy, and
+messages are carried across the cuts, so that marginals are exact. The model is of fixed size. Inputs of a score are the
+text's words alone.
 
 Defined results: null, empty and wordless texts get the score of a document without marginals; rows that repeat get
 the same score; without both classes among the labels every score is 0; an empty table gives an empty result.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import id_text, write_table
 from .kernels import ALNUM, U64, byte_values, fingerprints, mix, pieces, utf8, words
 
-CHAIN = 256
+STRETCH = 256
 BUCKETS = 1 << 20
 _VALUES = byte_values(ALNUM, True)
 _BREAK = 10
@@ -39,15 +41,14 @@ BROADCAST_LABELS = 1_000_000
 
 @dataclass
 class Chains:
-    """Tokens of a batch: document, byte places, features, and chains in time-major order (longest first)."""
+    """Tokens of a batch: document, byte places, features, and which of them begin a chain."""
 
     doc: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     terms: np.ndarray
     feats: np.ndarray  # 2 x n
-    order: np.ndarray  # time-major place -> token
-    active: np.ndarray  # chains alive at each time
+    first: np.ndarray
 
 
 def chains(data: np.ndarray, offsets: np.ndarray) -> Chains:
@@ -55,23 +56,11 @@ def chains(data: np.ndarray, offsets: np.ndarray) -> Chains:
     terms = fingerprints(data, starts, ends, _VALUES)
     head = fingerprints(data, starts, np.minimum(ends, starts + 6), _VALUES)
     feats = np.stack([(terms % U64(BUCKETS)).astype(np.int64), (mix(head + U64(1)) % U64(BUCKETS)).astype(np.int64)])
-    n = len(starts)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     line = np.searchsorted(np.flatnonzero(data == _BREAK), starts)
-    new = np.ones(n, bool)
+    new = np.ones(len(starts), bool)
     new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
-    run = np.flatnonzero(new)
-    place = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
-    chain = np.cumsum(place % CHAIN == 0) - 1
-    at = place % CHAIN
-    lens = np.bincount(chain, minlength=chain[-1] + 1 if n else 0)
-    rank = np.empty(len(lens), np.int64)
-    rank[np.argsort(-lens, kind="stable")] = np.arange(len(lens))
-    active = np.bincount(at) if n else np.empty(0, np.int64)
-    off = np.cumsum(active) - active
-    order = np.empty(n, np.int64)
-    order[off[at] + rank[chain]] = np.arange(n)
-    return Chains(doc, starts, ends, terms, feats, order, active)
+    return Chains(doc, starts, ends, terms, feats, new)
 
 
 @dataclass
@@ -85,47 +74,61 @@ class Model:
         return np.clip(self.weights[0][c.feats[0]] + self.weights[1][c.feats[1]] + self.bias, -20, 20)
 
 
-def forward_backward(e: np.ndarray, active: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 in time-major order, and the 2 x 2 expected transitions; e: time-major emissions."""
-    t = np.exp(trans)
-    x = np.exp(e)
-    off = np.cumsum(active) - active
-    f = np.empty(len(e))  # filtered probability of state 1
-    b = np.full(len(e), 0.5)  # normalised backward message of state 1
-    for k, n in enumerate(active):
-        at = slice(off[k], off[k] + n)
-        if k:
-            p = f[off[k - 1] : off[k - 1] + n]
-            one, zero = ((1 - p) * t[0, 1] + p * t[1, 1]) * x[at], (1 - p) * t[0, 0] + p * t[1, 0]
-        else:
-            one, zero = x[at], 1.0
-        f[at] = one / (one + zero)
-    pair = np.zeros((2, 2))
-    for k in range(len(active) - 1, 0, -1):
-        n = active[k]
-        at, prev = slice(off[k], off[k] + n), slice(off[k - 1], off[k - 1] + n)
-        one, zero = x[at] * b[at], 1 - b[at]
-        b1, b0 = t[1, 0] * zero + t[1, 1] * one, t[0, 0] * zero + t[0, 1] * one
-        p = f[prev]
-        joint = np.array([[(1 - p) * t[0, 0] * zero, (1 - p) * t[0, 1] * one], [p * t[1, 0] * zero, p * t[1, 1] * one]])
-        pair += (joint / joint.sum(axis=(0, 1))).sum(axis=2)
-        b[prev] = b1 / (b1 + b0)
+def _carry(m: np.ndarray) -> np.ndarray:
+    """Row vectors (share of state 1) after each of the 2 x 2 matrices m[:, :, k], from (1/2, 1/2) on."""
+    n = m.shape[2]
+    width = max(1, min(STRETCH, n))
+    rows = -(-n // width)
+    pad = np.broadcast_to(np.eye(2)[:, :, None], (2, 2, rows * width - n))
+    steps = np.concatenate([m, pad], axis=2).reshape(2, 2, rows, width)
+    steps = np.ascontiguousarray(np.moveaxis(steps, 3, 0))  # width x 2 x 2 x rows
+    whole = steps[0]
+    for k in range(1, width):
+        s = steps[k]
+        whole = np.stack([whole[:, 0] * s[0, 0] + whole[:, 1] * s[1, 0], whole[:, 0] * s[0, 1] + whole[:, 1] * s[1, 1]], axis=1)
+        whole /= whole.sum(axis=(0, 1))
+    enter, one = np.empty(rows), 0.5
+    for r, (a, b, c, d) in enumerate(zip(*whole.reshape(4, rows).tolist(), strict=True)):
+        enter[r] = one
+        zero, one = (1 - one) * a + one * c, (1 - one) * b + one * d
+        one /= zero + one
+    out, p = np.empty((rows, width)), enter
+    for k in range(width):
+        s = steps[k]
+        one = (1 - p) * s[0, 1] + p * s[1, 1]
+        p = one / (one + (1 - p) * s[0, 0] + p * s[1, 0])
+        out[:, k] = p
+    return out.reshape(-1)[:n]
+
+
+def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 and the 2 x 2 expected transitions; e: emissions, first: whether a token begins its chain."""
+    if not len(e):
+        return np.empty(0), np.zeros((2, 2))
+    t, x = np.exp(trans), np.exp(e)
+    inner = np.where(first, 1.0, t[:, :, None])  # a first token's step is the same from both states
+    f = _carry(np.stack([inner[:, 0], inner[:, 1] * x], axis=1))
+    into = np.stack([inner[:, 0], inner[:, 1] * x], axis=1)[:, :, ::-1]  # messages against the direction: from k to k - 1
+    back = np.swapaxes(into, 0, 1)
+    b = np.full(len(e), 0.5)
+    b[:-1] = _carry(back)[::-1][1:]
+    later = ~first
+    later[0] = False
+    p, one, zero = f[:-1][later[1:]], (x * b)[later], (1 - b)[later]
+    joint = np.array([[(1 - p) * t[0, 0] * zero, (1 - p) * t[0, 1] * one], [p * t[1, 0] * zero, p * t[1, 1] * one]])
+    pair = (joint / joint.sum(axis=(0, 1))).sum(axis=2)
     return f * b / (f * b + (1 - f) * (1 - b)), pair
 
 
 def fit_chain(c: Chains, labels: np.ndarray, steps: int = 40, rate: float = 0.5, l2: float = 1e-4) -> Model:
     """Gradient ascent with per-weight rates on the log-likelihood of the token labels."""
     m = Model(np.zeros((2, BUCKETS)), float(np.log((labels.sum() + 1) / (len(labels) + 1))), np.zeros((2, 2)), np.zeros(5))
-    y = labels[c.order].astype(float)
-    off = np.cumsum(c.active) - c.active
-    seen = np.zeros((2, 2))
-    for k in range(1, len(c.active)):
-        n = c.active[k]
-        seen += np.bincount((2 * y[off[k - 1] : off[k - 1] + n] + y[off[k] : off[k] + n]).astype(int), minlength=4).reshape(2, 2)
-    feats, total = c.feats[:, c.order], max(1.0, labels.sum())
+    y = labels.astype(float)
+    seen = np.bincount((2 * y[:-1] + y[1:])[~c.first[1:]].astype(int), minlength=4).reshape(2, 2)
+    feats, total = c.feats, max(1.0, labels.sum())
     size_w, size_t, size_b = np.full((2, BUCKETS), 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(steps):
-        p, pair = forward_backward(m.emissions(c)[c.order], c.active, m.trans)
+        p, pair = forward_backward(m.emissions(c), c.first, m.trans)
         gap = (y - p) / total
         g = np.stack([np.bincount(feats[k], gap, BUCKETS) for k in (0, 1)]) - l2 * m.weights
         size_w += g * g
@@ -149,9 +152,7 @@ def document_features(p: np.ndarray, c: Chains, n_docs: int) -> np.ndarray:
 
 
 def marginals(m: Model, c: Chains) -> np.ndarray:
-    p = np.empty(len(c.doc))
-    p[c.order] = forward_backward(m.emissions(c)[c.order], c.active, m.trans)[0]
-    return p
+    return forward_backward(m.emissions(c), c.first, m.trans)[0]
 
 
 def fit_head(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50, l2: float = 1e-3) -> np.ndarray:
