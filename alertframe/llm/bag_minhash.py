@@ -9,10 +9,13 @@ while its next point can still come first somewhere, and all strips of a batch a
 
 Grouping. 40 bands of 6 slots make buckets (a pair at 0.8 is missed with probability 5e-6). Texts of a bucket are not
 paired with each other: each is verified against the bucket's most connected text, exactly, on the multisets, which
-joins nearly all of a group. Buckets that then still hold texts of different components are looked at once more: the
-texts outside a bucket's main component are gathered in blocks, and each text of their buckets is held against a
-block at a time inside a task, so that no link between different texts is lost and no pairs are ever listed. Exact
-copies are one text throughout; components come from alternating large-star and small-star steps on written tables.
+joins nearly all of a group. The texts of buckets that then still hold several components are looked at once more: each
+is known by its rarest shingles, of which two texts of enough similarity must share one (rare_shingles), and where
+different components meet in one, the texts outside the main component are gathered in blocks, against which the
+others are held inside a task. So no link between different texts is lost, pairs are never listed, and texts that have
+only a template in common don't meet. Exact copies are one text throughout; components come from alternating large-star
+and small-star steps on written tables. Every document is given with the verified links of its text and the best
+similarity among them; links inside a component that is joined already are not looked for.
 
 Defined results: a text without a word (null, empty, blank) is alone in its class; rows that repeat are copies; a
 class is named by its least doc_id; a null doc_id never names a class that has another; an empty table gives none.
@@ -35,6 +38,8 @@ _VALUES = byte_values(NONSPACE, False)
 _STEP = U64(0x9E3779B97F4A7C15)
 _BITS = U64(48)
 _LOW = U64((1 << 48) - 1)
+#: Cells of the table of shingle frequencies, and how many ways a component's rows are spread.
+CELLS, SALTS = 1 << 20, 32
 
 
 def shingle_bags(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def _links(asked: list[tuple], held: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes]]:
+def _links(asked: list[tuple], held: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes, float]]:
     """Links between asked and held texts (node, component, items, counts) that join what wasn't joined before."""
     if not asked:
         return
@@ -199,23 +204,21 @@ def _links(asked: list[tuple], held: list[tuple], threshold: float) -> Iterator[
             a, b = find(asked[k][1]), find(comp)
             if a != b and asked[k][0] != node:
                 root[a] = b
-                yield asked[k][0], node
+                yield asked[k][0], node, float(shared[k] / (totals[k] + weight.sum() - shared[k]))
 
 
 def block_links(rows: DataFrame, threshold: float, k: int) -> DataFrame:
-    """rows (main, blk, role, node, comp, text) -> links (x, p): role 0 texts of a block against its role 1 texts."""
+    """rows (main, blk, role, node, comp, text) -> links (x, p, sim): role 0 texts of a block against its role 1 texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, asked = None, []
         for part in pieces(batches, "text"):
             doc, item, count = shingle_bags(*utf8(part.column(5)), k)
             cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            x, p, held = [], [], []
+            links, held = [], []
 
-            def flush(x: list = x, p: list = p, held: list = held) -> None:
-                for u, y in _links(asked, held, threshold):
-                    x.append(u)
-                    p.append(y)
+            def flush(links: list = links, held: list = held) -> None:
+                links.extend(_links(asked, held, threshold))
                 held.clear()
 
             for i, (main, blk, role, node, comp) in enumerate(zip(*(c.to_pylist() for c in part.columns[:5]), strict=True)):
@@ -224,34 +227,90 @@ def block_links(rows: DataFrame, threshold: float, k: int) -> DataFrame:
                     block, asked = (main, blk), []
                 (held if role else asked).append((node, comp, item[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]))
             flush()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(p, pa.binary())], names=["x", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in links], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["x", "p", "sim"])
 
-    return rows.repartition("main", "blk").sortWithinPartitions("main", "blk", "role").mapInArrow(run, "x binary, p binary")
+    return rows.repartition("main", "blk").sortWithinPartitions("main", "blk", "role").mapInArrow(run, "x binary, p binary, sim double")
+
+
+def _ranks(rows: DataFrame, k: int) -> np.ndarray:
+    """How many texts (column text) have a shingle of each of CELLS hash cells: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for part in pieces(batches, "text"):
+            for at in range(0, part.num_rows, 1 << 15):
+                counts += np.bincount((shingle_bags(*utf8(part.slice(at, 1 << 15).column(0)), k)[1] % U64(CELLS)).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["cell", "n"])
+
+    total = rows.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[total.column("cell").to_numpy()] = total.column("n").to_numpy()
+    return out
+
+
+def rare_shingles(rows: DataFrame, threshold: float, k: int) -> DataFrame:
+    """rows (node, comp, text) -> node, comp, key: the rarest shingles of each text, so many that two texts with that
+    similarity share one of them.
+
+    Texts of similarity t share at least t of the larger one's shingles, counted with their repeats; so the rarest ones
+    that make up more than 1 - t of a text, in any order that is the same for all texts, can't all be strange to the
+    other. The order is by an approximate number of texts, so that shingles of a template come last.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(_ranks(rows, k))  # CELLS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = sent.value
+        for part in pieces(batches, "text"):
+            for at in range(0, part.num_rows, 1 << 15):
+                own = part.slice(at, 1 << 15)
+                doc, item, count = shingle_bags(*utf8(own.column(2)), k)
+                order = np.lexsort((item, rank[(item % U64(CELLS)).astype(np.int64)], doc))
+                doc, item, count = doc[order], item[order], count[order]
+                first = np.searchsorted(doc, np.arange(own.num_rows + 1))
+                before = np.cumsum(count) - count
+                before -= np.append(before, 0)[first[:-1]][doc]  # repeats of rarer shingles of the text
+                total = np.bincount(doc, count, own.num_rows)[doc]
+                rare = before <= (1 - threshold) * total + 1e-9
+                of = pa.array(doc[rare])
+                yield pa.RecordBatch.from_arrays([own.column(0).take(of), own.column(1).take(of), pa.array(item[rare].view(np.int64))], names=["node", "comp", "key"])
+
+    return rows.select("node", "comp", "text").mapInArrow(run, "node binary, comp binary, key long")
 
 
 def _rest(buckets: DataFrame, comp: DataFrame, texts: DataFrame, threshold: float, k: int, block: int = 256) -> DataFrame | None:
-    """Links within buckets that still hold several components; none if there are no such buckets."""
+    """Links between texts of buckets that still hold several components; none if there are no such buckets.
+
+    Such texts meet where they share one of their rarest shingles, which texts that have only a template in common don't.
+    There the texts outside the main component are dealt to blocks, and what they meet is held against a block at a time.
+    """
     now = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     split = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    left, _ = write_table(now.join(split, "key"), "split")
-    if left.isEmpty():
+    left = now.join(split, "key").select("node", "comp").distinct()
+    rows, _ = write_table(left.join(texts, "node"), "split")
+    if rows.isEmpty():
         return None
-    most = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    outside, _ = write_table(left.join(most, "key").filter("comp <> main"), "outside")
+    rare, _ = write_table(rare_shingles(rows, threshold, k), "rare")
+    sizes = rare.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m"))
+    met, _ = write_table(rare.join(sizes.filter("comps > 1").select("key", F.col("m.comp").alias("main")), "key"), "met")
+    outside = met.filter("comp <> main").select("key", "main", "node", "comp")
     blocks = outside.select("main", "node").distinct().groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).alias("k"))
-    dealt = outside.join(blocks, "main").select("key", "main", F.pmod(F.xxhash64("node"), F.col("k")).alias("blk"), "node", "comp")
+    salted = blocks.select("main", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a hot component's rows are spread
+    dealt = outside.withColumn("salt", F.pmod(F.xxhash64("key", "node"), F.lit(SALTS)).cast("int")).join(salted, ["main", "salt"])
+    dealt, _ = write_table(dealt.select("key", "main", F.pmod(F.xxhash64("node"), F.col("k")).alias("blk"), "node", "comp"), "outside")
     asked = dealt.select("main", "blk", F.lit(0).alias("role"), "node", "comp").distinct()
-    held = dealt.select("key", "main", "blk").distinct().join(left, "key").select("main", "blk", F.lit(1).alias("role"), "node", "comp").distinct()
+    held = dealt.select("key", "main", "blk").distinct().join(met.select("key", "node", "comp"), "key").select("main", "blk", F.lit(1).alias("role"), "node", "comp").distinct()
     return block_links(asked.unionByName(held).join(texts, "node").select("main", "blk", "role", "node", "comp", "text"), threshold, k)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row per document: doc_id, class_id (least doc_id of its near-duplicate class) and copy_of (of its exact copies)."""
-    return _classes(docs, text, key, threshold, k, bands, rows).select("doc_id", "class_id", "copy_of")
+    """A row per document: doc_id, class_id (least doc_id of its near-duplicate class), copy_of (of its exact copies), and
+    of its text's verified links to other texts their number (n_links) and the best similarity (null without links)."""
+    return _classes(docs, text, key, threshold, k, bands, rows).select("doc_id", "class_id", "copy_of", "n_links", "similarity")
 
 
 def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """near_duplicates, and of each document its text's hash (node) and whether it stands for its class (main)."""
+    """As near_duplicates, and of each document its text's hash (node) and whether it stands for its class (main)."""
     signed = signatures(docs, text, key, k, bands, rows)
     every, _ = write_table(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "texts")
     named = every.filter(F.size("bands") > 0)
@@ -264,21 +323,26 @@ def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold
     texts, _ = write_table(held.join(wanted, (held["node"] == wanted["node"]) & held["doc_id"].eqNullSafe(wanted["doc"])).select(held["node"], "text"), "near-texts")
     hubs = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("p"))
     stars = buckets.join(hubs, "key").filter("node <> p").select(F.col("node").alias("x"), "p").distinct()
-    links, _ = write_table(verify(stars, texts, k).filter(F.col("sim") >= threshold).select(F.col("x").alias("u"), F.col("p").alias("v")), "links")
+    links, _ = write_table(verify(stars, texts, k).filter(F.col("sim") >= threshold).select(F.col("x").alias("u"), F.col("p").alias("v"), "sim"), "links")
     comp, _ = write_table(components(links), "components")
     more = _rest(buckets, comp, texts, threshold, k)
     if more is not None:
-        found, _ = write_table(more.select(F.col("x").alias("u"), F.col("p").alias("v")), "links")
+        found, _ = write_table(more.select(F.col("x").alias("u"), F.col("p").alias("v"), "sim"), "links")
         if not found.isEmpty():
-            comp, _ = write_table(components(links.unionByName(found)), "components")
-    classed = every.join(comp, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"), (F.size("bands") == 0).alias("blank"))
+            links = links.unionByName(found)
+            comp, _ = write_table(components(links), "components")
+    pairs = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim").distinct()  # a bucket's hub may be another one's text
+    ends = pairs.select(F.col("u").alias("node"), "sim").unionByName(pairs.select(F.col("v").alias("node"), "sim"))
+    linked = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"), F.max("sim").alias("similarity"))
+    classed = every.join(comp, "node", "left").join(linked, "node", "left")
+    classed = classed.select("node", "doc", F.coalesce("comp", "node").alias("comp"), (F.size("bands") == 0).alias("blank"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "similarity")
     least = classed.groupBy("comp").agg(F.min("doc").alias("class_id"), F.min(F.struct(F.col("doc").isNull(), "doc", "node")).alias("least"))
-    names = classed.join(least, "comp").select("node", F.col("doc").alias("copy_of"), "class_id", "blank", (F.col("node") == F.col("least.node")).alias("first"))
+    names = classed.join(least, "comp").select("node", F.col("doc").alias("copy_of"), "class_id", "blank", "n_links", "similarity", (F.col("node") == F.col("least.node")).alias("first"))
     ids = id_text(docs, text, key).select("doc_id", F.unhex(F.md5("text")).alias("node"))
     own = F.col("blank")
     main = own | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("copy_of")))
     named = [F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "copy_of")]
-    return ids.join(names, "node").select("doc_id", *named, "node", main.alias("main"))
+    return ids.join(names, "node").select("doc_id", *named, "n_links", "similarity", "node", main.alias("main"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
