@@ -2,15 +2,18 @@
 
 Explicit rules label the pages they fit. For each host the paths form a tree: variable segments (numbers, hashes,
 long ones) become wildcards by their shape, and children whose share of blocked labels does not differ from their
-labelled siblings' (a two-proportion test) are merged into one branch, however many they are. The tree grows to the
-deepest path. Pages without a rule get the verdict of their template: block if its share of blocked labels,
-smoothed towards the overall rate, reaches `reject_at`.
+labelled siblings' (a two-proportion test) are merged into one branch, however many they are; so are children without a
+label whose paths go on as those siblings' do (a G-test of homogeneity over the next segments). The tree grows to the
+deepest path. Pages without a rule get the verdict of their template: block if its share of blocked labels among
+labelled pages reaches `reject_at`, smoothed towards the host's share, and that towards the overall one. A template
+without a label so inherits its host's share.
 
 All of the tree's steps work on one row per host and path shape, so that a hot host is reduced before it is grouped;
 pages meet their templates by an equi-join on host and shape, which adaptive execution splits where it is hot.
 
 Defined results: a null url or one without :// has an empty host and path and an empty template; repeated rows count
-as often as they stand; extra columns are ignored; an empty table gives an empty result.
+as often as they stand; a purity equal to reject_at blocks; a host of one path shape ends there; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,6 +63,39 @@ def shape(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/", -1), lambda x: x != ""), one)
 
 
+def _critical(free: Column, z: float) -> Column:
+    """The chi-square value that so many degrees of freedom exceed as rarely as a normal one exceeds z (Wilson-Hilferty)."""
+    v = 2 / (9 * free)
+    return free * F.pow(1 - v + z * F.sqrt(v), F.lit(3))
+
+
+def _like_labelled(now: DataFrame, seg: Column, following: Column, z: float) -> DataFrame:
+    """host, template, seg of the unlabelled branches whose paths go on as their labelled siblings' do.
+
+    A G-test of homogeneity between a branch's distribution over the next segments and its labelled siblings' together.
+    """
+    where = ["host", "template"]
+    has = F.col("b") + F.col("a") > 0
+    ways = now.select(*where, seg.alias("seg"), F.coalesce(following, F.lit("")).alias("way"), "n", has.alias("known")).filter("seg is not null")
+    branch = ways.groupBy(*where, "seg", "way").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known"))
+    known = branch.groupBy(*where, "seg").agg(F.bool_or("known").alias("known"), F.sum("n").alias("total"))
+    branch = branch.drop("known").join(known, [*where, "seg"])
+    pool = branch.filter("known").groupBy(*where, "way").agg(F.sum("n").alias("m"))
+    pools = pool.groupBy(*where).agg(F.sum("m").alias("pool"), F.count(F.lit(1)).alias("kinds"))
+    each = branch.filter("not known").join(pools, where).join(pool, [*where, "way"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    both, total, out_of = F.col("n") + F.col("m"), F.col("total"), F.col("total") + F.col("pool")
+    term = lambda x, own: F.when(x > 0, x * F.log(x * out_of / (both * own))).otherwise(0.0)
+    # ways of the pool that the branch lacks: m log(out_of / pool) each; all of m but what the branch has
+    stats = each.groupBy(*where, "seg").agg(
+        F.sum(term(F.col("n"), total) + term(F.col("m"), F.col("pool"))).alias("g"), F.sum("m").alias("met"), F.count(F.when(F.col("m") == 0, 1)).alias("own"),
+        F.first("pool").alias("pool"), F.first("kinds").alias("kinds"), F.first("total").alias("total"),
+    )
+    lacking = (F.col("pool") - F.col("met")) * F.log((F.col("total") + F.col("pool")) / F.col("pool"))
+    free = (F.col("kinds") + F.col("own") - 1).cast("double")
+    alike = F.when(free == 0, F.lit(True)).otherwise(2 * (F.col("g") + lacking) <= _critical(F.greatest(free, F.lit(1.0)), z))
+    return stats.filter(alike).select(*where, "seg")
+
+
 def templates(labelled: DataFrame, z: float = 1.96, pseudo: float = 4.0, reject_at: float = 0.5) -> DataFrame:
     """host, shape, template, purity and verdict; labelled: host, shape (array) and rule verdict (null: none)."""
     blocked, allowed = (F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)) for v in ("block", "allow"))
@@ -73,8 +109,10 @@ def templates(labelled: DataFrame, z: float = 1.96, pseudo: float = 4.0, reject_
         share = F.col("pb") / F.col("pn")
         spread = F.sqrt(share * (1 - share) * (1 / F.col("cn") + 1 / F.col("pn")))
         alike = F.abs(F.col("cb") / F.col("cn") - share) <= z * spread
-        wild = F.when(F.col("seg").isNull(), F.lit(None)).when(F.when(F.col("cn") > 0, alike).otherwise(False), "*").otherwise(F.col("seg"))
-        kept = children.join(node, ["host", "template"]).select("host", "template", "seg", wild.alias("as"), "own")
+        like = _like_labelled(now, seg, F.get("shape", F.lit(k + 1)), z).withColumn("like", F.lit(True))
+        merged = F.when(F.col("cn") > 0, alike).otherwise(F.coalesce("like", F.lit(False)))
+        wild = F.when(F.col("seg").isNull(), F.lit(None)).when(merged, "*").otherwise(F.col("seg"))
+        kept = children.join(node, ["host", "template"]).join(like, ["host", "template", "seg"], "left").select("host", "template", "seg", wild.alias("as"), "own")
         left = now.withColumn("seg", seg).alias("l")
         joined = left.join(kept.alias("r"), (F.col("l.host") == F.col("r.host")) & (F.col("l.template") == F.col("r.template")) & F.col("l.seg").eqNullSafe(F.col("r.seg")))
         alone = F.transform(F.slice("l.shape", k + 1, F.greatest(F.size("l.shape") - k, F.lit(0))), lambda x: F.when(F.col("l.b") + F.col("l.a") > 0, "*").otherwise(x))  # as the steps below would
@@ -86,10 +124,13 @@ def templates(labelled: DataFrame, z: float = 1.96, pseudo: float = 4.0, reject_
         if now.isEmpty():
             break
     now, _ = write_table(reduce(DataFrame.unionByName, done), "paths")
-    total = now.agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
-    rate = float(total.b or 0) / max(1, total.n or 0)
-    purity = (F.sum("b") + F.lit(pseudo * rate)) / (F.sum(F.col("b") + F.col("a")) + F.lit(pseudo))
-    judged = now.groupBy("host", "template").agg(purity.alias("purity"))
+    smoothed = lambda b, n, prior: (b + pseudo * prior) / (n + pseudo)
+    hosts = now.groupBy("host").agg(F.sum("b").alias("hb"), F.sum(F.col("b") + F.col("a")).alias("hn"))
+    total = hosts.agg(F.sum("hb").alias("b"), F.sum("hn").alias("n")).first()
+    rate = F.lit(float(total.b or 0) / max(1, total.n or 0))
+    prior = hosts.select("host", smoothed(F.col("hb"), F.col("hn"), rate).alias("prior"))
+    judged = now.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum(F.col("b") + F.col("a")).alias("n")).join(prior, "host")
+    judged = judged.select("host", "template", smoothed(F.col("b"), F.col("n"), F.col("prior")).alias("purity"))
     verdict = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
     return now.join(judged, ["host", "template"]).select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", verdict.alias("verdict"))
 
