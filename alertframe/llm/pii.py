@@ -1,7 +1,8 @@
 """Information-theoretic sanitisation [native].
 
-Base detectors find e-mail addresses, IP addresses, payment cards and phone numbers. Each distinct value found is a
-protected entity e with information IC(e) = log(N / df(e)) over the N documents. A term t discloses
+Base detectors find e-mail addresses, IP addresses, payment cards and phone numbers. Protected entities e are each
+distinct value, what values share (an address's domain, an IP's network, a card's issuer, a phone's prefix) and each
+kind, with information IC(e) = log(N / df(e)) over the N documents. A term t discloses
 PMI(t; e) = log(N c(t, e) / (df(t) df(e))) of that, where c counts documents that hold both, wherever in the text.
 Terms whose share PMI / IC reaches `remove_at` are removed, those from `generalise_at` on are generalised to their
 kind, in every document that holds them, with or without the entity.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,21 +48,32 @@ TERM = r"\p{L}++"
 MASK = "\uffff"
 
 
-def places(text: Column, pattern: str | Column) -> Column:
-    """Leftmost non-overlapping matches: array of (m, s, e), in code points; places come from what splits around them."""
+def running(a: Column, width: int = 16, passes: int = 7) -> Column:
+    """Sums of an array's first 1, 2, ... numbers, in passes that add `width` places at growing distances (16^7 at most)."""
+
+    def go(x: Column, level: int) -> Column:
+        step = width**level
+        if level == passes:
+            return x
 
-    def fold(m: Column, g: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            s = a.at + F.length(F.get(g, i))
-            e = s + F.length(F.get(m, i))
-            return F.struct(e.alias("at"), F.array_append(a.out, F.struct(F.get(m, i).alias("m"), s.alias("s"), e.alias("e"))).alias("out"))
+        def total(_: Column, i: Column) -> Column:
+            return reduce(lambda p, q: p + q, (F.coalesce(F.get(x, i - j * step), F.lit(0)) for j in range(width)))
 
-        none = F.array().cast("array<struct<m:string,s:int,e:int>>")
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, step, lambda a: a.out)).otherwise(none)
+        return F.when(F.size(x) > step, bind(F.transform(x, total), lambda y: go(y, level + 1))).otherwise(x)
 
+    return bind(a, lambda x: go(x, 0))
+
+
+def places(text: Column, pattern: str | Column) -> Column:
+    """Leftmost non-overlapping matches: array of (m, s, e), in code points; places come from what splits around them."""
     by = F.lit(pattern)
-    return bind(F.regexp_extract_all(text, by, F.lit(0)), lambda m: bind(F.split(text, by, -1), lambda g: fold(m, g)))
+
+    def named(m: Column, g: Column) -> Column:
+        ends = running(F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x)))
+        return bind(ends, lambda e: F.transform(m, lambda x, i: F.struct(x.alias("m"), (F.get(e, i) - F.length(x)).alias("s"), F.get(e, i).alias("e"))))
+
+    none = F.array().cast("array<struct<m:string,s:int,e:int>>")
+    return bind(F.regexp_extract_all(text, by, F.lit(0)), lambda m: F.when(F.size(m) > 0, bind(F.split(text, by, -1), lambda g: named(m, g))).otherwise(none))
 
 
 def _digits(m: Column) -> Column:
@@ -95,21 +108,28 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(of(k) for k in PATTERNS))
 
 
-def masked(text: Column, base: Column) -> Column:
-    """text with the letters of the spans replaced by MASK; places stay."""
+def masked(text: Column) -> Column:
+    """text with the letters of e-mail addresses (no other base span has any) replaced by MASK; places stay."""
+    by = F.lit(PATTERNS["email"])
+
+    def joined(m: Column, g: Column) -> Column:
+        parts = F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.regexp_replace(F.get(m, i), r"\p{L}", MASK), F.lit(""))))
+        return F.array_join(parts, "")
+
+    done = bind(F.regexp_extract_all(text, by, F.lit(0)), lambda m: bind(F.split(text, by, -1), lambda g: joined(m, g)))
+    return F.when(text.rlike(HINTS["email"]), done).otherwise(text)
 
-    def step(a: Column, x: Column) -> Column:
-        s, e = F.greatest(x.s, a.at), F.greatest(x.e, a.at)
-        own = F.regexp_replace(F.substring(text, s + 1, e - s), r"\p{L}", MASK)
-        return F.struct(e.alias("at"), F.concat(a.out, F.substring(text, a.at + 1, s - a.at), own).alias("out"))
 
-    order = F.array_sort(F.transform(base, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"))))
-    done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
-    return F.when(F.size(base) > 0, done).otherwise(text)
+def group_of(kind: Column, m: Column) -> Column:
+    """What values of a kind share: an address's domain, an IP's network of 256, a card's issuer, a phone's first four digits."""
+    d = F.regexp_replace(m, "[^0-9]", "")
+    return F.when(kind == "email", F.substring_index(m, "@", -1)).when(kind == "ip", F.substring_index(m, ".", 3)).when(kind == "card", F.substring(d, 1, 6)).otherwise(F.substring(d, 1, 4))
 
 
 def entity_names(base: Column) -> Column:
-    return F.array_distinct(F.transform(base, lambda x: F.concat_ws(":", x.kind, F.lower(x.m))))
+    """kind:value, kind/group and kind of every span."""
+    each = F.transform(base, lambda x: bind(F.lower(x.m), lambda m: F.array(F.concat_ws(":", x.kind, m), F.concat_ws("/", x.kind, group_of(x.kind, m)), x.kind)))
+    return F.array_distinct(F.flatten(each))
 
 
 def spoken(text: Column) -> Column:
@@ -122,7 +142,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     t = F.col("text")
 
     def terms(base: Column) -> Column:
-        clear = F.regexp_extract_all(masked(t, base), F.lit(rf"(?<![\p{{L}}{MASK}]){TERM}(?!{MASK})"), F.lit(0))
+        clear = F.regexp_extract_all(masked(t), F.lit(rf"(?<![\p{{L}}{MASK}]){TERM}(?!{MASK})"), F.lit(0))
         return F.when(F.size(base) > 0, F.array_distinct(F.transform(F.filter(F.array_distinct(clear), lambda w: F.length(w) > 2), lambda w: F.lower(w))))
 
     found = id_text(docs, text, key).select("doc_id", F.xxhash64("text").alias("h"), bind(base_spans(t), lambda b: F.struct(b.alias("base"), terms(b).alias("terms"))).alias("f"))
@@ -184,7 +204,7 @@ def marked(text: Column, told: Column) -> Column:
     def named(x: Column) -> Column:
         return F.struct(F.element_at(told, F.lower(x.m)).alias("kind"), x.s.alias("s"), x.e.alias("e"), F.lower(x.m).alias("m"))
 
-    return bind(masked(text, base_spans(text)), lambda clear: bind(pattern, lambda p: F.array_sort(F.transform(places(clear, p), named))))
+    return bind(masked(text), lambda clear: bind(pattern, lambda p: F.array_sort(F.transform(places(clear, p), named))))
 
 
 def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id", **thresholds: float) -> DataFrame:
