@@ -39,7 +39,7 @@ def xrefs(text: Column) -> Column:
 
 
 def is_retraction(subject: Column) -> Column:
-    return F.coalesce(subject.rlike(r"(?iU)" + "|".join(names.RETRACTIONS)), F.lit(False))
+    return F.coalesce(subject.rlike(r"(?iU)" + names.RETRACTION), F.lit(False))
 
 
 def redshift_point(text: Column) -> Column:

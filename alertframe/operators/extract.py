@@ -28,49 +28,58 @@ def _span(found: dict, text: str) -> dict:
     return {"start": found["start"], "end": found["end"], "snippet": text[found["start"] : found["end"]]}
 
 
-def extract_text(subject: str | None, body: str | None, event_id: str | None = None, trigger: datetime | None = None, classify: Classifier | None = None) -> dict[str, Any]:
-    """One bulletin's record; provenance spans are into body as it stands."""
+#: The parts of a record that extract() can be asked for.
+FIELDS = ("event", "follow_up", "localization", "time_offsets", "photometry", "classification", "redshift", "retraction")
+
+
+def extract_text(
+    subject: str | None, body: str | None, event_id: str | None = None, trigger: datetime | None = None, classify: Classifier | None = None, fields: tuple[str, ...] = FIELDS
+) -> dict[str, Any]:
+    """One bulletin's record; provenance spans are into body as it stands. Parsers of fields that aren't asked for don't run."""
     body, notes, where = body or "", [], {}
-    event = names.name_event(event_id, subject, body)
+    event = names.name_event(event_id, subject, body) if "event" in fields else {"primary": None, "source": "none"}
     if event["primary"] and (at := body.find(event["primary"])) >= 0:
         where["event.event_name"] = _span({"start": at, "end": at + len(event["primary"])}, body)
     elif event["source"] == "body" and (raw := names.find_events(body)):
         where["event.event_name"] = _span(raw[0], body)
     all_names = ([event["primary"]] if event["source"] == "eventId" else event["names"]) if event["primary"] else []
-    xrefs = names.find_xrefs(body)
+    xrefs = names.find_xrefs(body) if "follow_up" in fields else []
     if xrefs:
         where["follow_up.reference"] = _span({"start": xrefs[0]["start"], "end": xrefs[-1]["end"]}, body)
-    place = positions.find_position(body)
+    place = positions.find_position(body) if "localization" in fields else None
     if place:
         where["localization"] = _span(place, body)
         all_names += [n for n in place["names"] if names.normal(n) not in map(names.normal, all_names)]
-    optical = tables.photometry(body, trigger)
-    if system := stated_system(body):
-        for r in optical:
-            r["mag_system"] = system
-    rows = optical + flux.radio(body) + flux.xray(body)
-    offsets = times.find_offsets(body)
+    rows: list[dict] = []
+    if "photometry" in fields:
+        optical = tables.photometry(body, trigger)
+        if system := stated_system(body) if optical else None:
+            for r in optical:
+                r["mag_system"] = system
+        rows = optical + flux.radio(body) + flux.xray(body)
+    offsets = times.find_offsets(body) if "time_offsets" in fields or rows else []
     notes += times.date_rows(rows, offsets, body, trigger)
-    if telescope := names.find_telescope(body):
+    if telescope := names.find_telescope(body) if rows else None:
         for r in rows:
             r["telescope"] = r["telescope"] or telescope["name"]
-    z, bound = redshifts.find_redshift(body), None
+    z, bound = redshifts.find_redshift(body) if "redshift" in fields else None, None
     if z:
         where["redshift.redshift"] = _span(z, body)
-    elif bound := redshifts.find_bound(body):
+    elif bound := redshifts.find_bound(body) if "redshift" in fields else None:
         notes.append(bound["phrase"])
         where["_redshift_bound"] = _span(bound, body)
-    kind = classes.find_class(body)
+    judged = "classification" in fields
+    kind = classes.find_class(body) if judged else None
     found = {"classification": kind["classification"], "subtype": None, "confidence": None, "taxonomy_path": None} if kind else None
     if kind:
         where["classification.classification"] = _span(kind, body)
-    if classify is not None:
+    if classify is not None and judged:
         label = classify(f"{subject or ''} {body}")
         found = {"classification": label, "subtype": None, "confidence": None, "taxonomy_path": None} if label else None
         where = where if found else {k: v for k, v in where.items() if not k.startswith("classification")}
-    if flare := classes.flare_class(f"{subject or ''}. {body}"):
+    if flare := classes.flare_class(f"{subject or ''}. {body}") if judged else None:
         found = {"classification": "UV Ceti", "subtype": flare if flare.endswith("candidate") else None, "confidence": None, "taxonomy_path": None}
-    if flash := classes.flash_subtype(f"{subject or ''}. {body}"):
+    if flash := classes.flash_subtype(f"{subject or ''}. {body}") if judged else None:
         found = (found or {"classification": "GRB", "confidence": None, "taxonomy_path": None}) | {"subtype": flash}
     for k, r in enumerate(rows):
         where[f"photometry[{k}]"] = _span(r, body)
@@ -108,32 +117,43 @@ def derive(found: DataFrame) -> DataFrame:
     return found.withColumns({"photometry": rows, "classification": full})
 
 
-def extract(circulars: DataFrame, classify: Classifier | None = None) -> DataFrame:
-    """circular_id, subject, body[, event_id, trigger_time] -> schemas.EXTRACTION; a bad bulletin gets a note.
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly if its input is so small that it makes fewer splits than there are cores; else as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size < cores * (32 << 20) else df
+
+
+def failures(found: DataFrame) -> DataFrame:
+    """bulletins and failed: how many there are, and how many a parser failed on (their note begins with error)."""
+    bad = F.exists(F.coalesce("extraction_meta.notes", F.array().cast("array<string>")), lambda n: n.startswith("error: "))
+    return found.agg(F.count(F.lit(1)).alias("bulletins"), F.count(F.when(bad, 1)).alias("failed"))
 
-    Parsing costs far more than moving a bulletin, and a file split holds hundreds of thousands, so rows are dealt out
-    by circular_id first (later joins and aggregations by it need no shuffle); the fixed number keeps adaptive
-    execution from putting small partitions together again.
+
+def extract(circulars: DataFrame, classify: Classifier | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """circular_id, subject, body[, event_id, trigger_time] -> schemas.EXTRACTION; a bad bulletin gets a note (failures()).
+
+    Only the parsers of the fields asked for run. Large input is parsed split by split, without a shuffle; small input is
+    dealt out first, since parsing costs far more than moving a bulletin.
     """
     ship(circulars.sparkSession)
     arrow = to_arrow_schema(schemas.struct(schemas.EXTRACTION))
     has = circulars.columns
     own = circulars.select("circular_id", "subject", "body", *(F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in (("event_id", "string"), ("trigger_time", "timestamp"))))
 
-    own = own.repartition(int(circulars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "circular_id")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for number, subject, body, event_id, trigger in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 try:
-                    got = extract_text(subject, body, event_id, trigger, classify)
+                    got = extract_text(subject, body, event_id, trigger, classify, fields)
                 except Exception as e:  # one bulletin must not end the job
                     got = {"retraction": False, "photometry": [], "time_offsets": [], "provenance": {}, "extraction_meta": {"extractor": "regex", "notes": [f"error: {e}"]}}
                 out.append(got | {"circular_id": number, "provenance": list(got["provenance"].items())})
             yield pa.RecordBatch.from_arrays([pa.array([g.get(f.name) for g in out], f.type) for f in arrow], schema=arrow)  # keys that a dict lacks are null
 
-    return derive(own.mapInArrow(run, schemas.EXTRACTION))
+    return derive(_spread(own).mapInArrow(run, schemas.EXTRACTION))
 
 
 def provenance_rows(found: DataFrame) -> DataFrame:

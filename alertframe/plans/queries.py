@@ -16,7 +16,6 @@ from ..operators import classify, evaluate, extract, fusion, labels, sampling, s
 from ..sources import readers
 from ..streaming import consume
 from ..synth import circulars, circulars_sql, facts_sql, lines_sql, register, tables_sql
-from ..text import classes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,8 +36,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(circulars(spark, sf_dir))
+def _extracted(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    return extract.extract(circulars(spark, sf_dir), fields=fields or extract.FIELDS)
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +49,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(f"select {EVENT} as event, circular_id, z_milli / 1000.0 as redshift from ({FACTS}) where odd <> 2 and where_named <> 0 qualify row_number() over (partition by event order by case z_kind when 0 then 2 when 1 then 1 else 0 end desc, case z_kind when 2 then 1 else 0 end desc, circular_id) = 1")
+@query(f"select {EVENT} as event, circular_id, z_milli / 1000.0 as redshift from ({FACTS}) where odd <> 2 qualify row_number() over (partition by event order by case z_kind when 0 then 2 when 1 then 1 else 0 end desc, case z_kind when 2 then 1 else 0 end desc, circular_id) = 1")
 def redshift_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: bulletins to records, and each event's best redshift with where it was stated."""
-    found = _extracted(spark, sf_dir).select("circular_id", F.get("event.event_name", F.lit(0)).alias("event"), "redshift.*").filter("redshift is not null and event not like '% %'")
+    found = _extracted(spark, sf_dir, "event", "redshift").select("circular_id", S.normal_event(F.get("event.event_name", F.lit(0))).alias("event"), "redshift.*").filter("redshift is not null")
     key = F.struct(fusion.rank(fusion.MEASURE_RANK, F.col("redshift_measure")), fusion.rank(fusion.TYPE_RANK, F.col("redshift_type")), -F.col("circular_id"))
     return found.groupBy("event").agg(F.max_by(F.struct("circular_id", "redshift"), key).alias("b")).select("event", "b.circular_id", "b.redshift")
 
@@ -79,17 +78,17 @@ def xref_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with recursive e as (select circular_id as src, cites as dst from ({FACTS}) where cites in (select circular_id from ({FACTS}))),
-w(seed, circular_id, hop) as (select circular_id, circular_id, 0 from ({FACTS}) where circular_id % 10 = 0
+w(seed, circular_id, hop) as (select circular_id, circular_id, 0 from ({FACTS}) where circular_id % 50 = 0
   union select w.seed, e.dst, w.hop + 1 from w join e on w.circular_id = e.src where w.hop < 3)
 select seed, circular_id, min(hop)::int as hop from w group by seed, circular_id""")
 def xref_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = circulars(spark, sf_dir)
-    return fusion.walk(fusion.xref_edges(c), c, c.filter("circular_id % 10 = 0"), 3)
+    return fusion.walk(fusion.xref_edges(c), c, c.filter("circular_id % 50 = 0"), 3)
 
 
 @query(f"select circular_id, ra_milli / 1000.0 as ra, dec_milli / 1000.0 as dec from ({FACTS})")
 def coords_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spark, sf_dir).select("circular_id", "localization.ra", "localization.dec")
+    return _extracted(spark, sf_dir, "localization").select("circular_id", "localization.ra", "localization.dec")
 
 
 @query(f"select circular_id, 15.0 * (hh + mi / 60.0 + ss / 3600.0)::double as ra, -((mi + hh / 60.0 + ss / 3600.0))::double as dec from ({FACTS})")
@@ -119,12 +118,12 @@ MAG = f"select circular_id, {BAND} as filter, case when odd <> 1 then mag_centi
 
 @query(MAG)
 def mags_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.photometry_rows(_extracted(spark, sf_dir)).filter("filter is not null").select("circular_id", "filter", "mag", "mag_error", "limiting_mag", "is_detection")
+    return extract.photometry_rows(_extracted(spark, sf_dir, "photometry")).filter("filter is not null").select("circular_id", "filter", "mag", "mag_error", "limiting_mag", "is_detection")
 
 
 def _tabled(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     register(spark, sf_dir, "lineitem")
-    return extract.photometry_rows(extract.extract(spark.sql(tables_sql(False, form))))
+    return extract.photometry_rows(extract.extract(spark.sql(tables_sql(False, form)), fields=("photometry",)))
 
 
 TABLE = f"select circular_id, cast(row_number() over (partition by circular_id order by line) - 1 as int) as row, {BAND} as filter, mag_centi / 100.0 as mag, err_centi / 100.0 as mag_error from ({lines_sql(True)})"
@@ -157,7 +156,7 @@ GHZ = "case ghz_k when 0 then 6.0 when 1 then 10.0 else 22.0 end"
 
 @query(f"select circular_id, flux::double as flux_density, 5.0::double as flux_density_error, 'uJy' as flux_density_unit, {GHZ}::double as frequency_ghz, case ghz_k when 0 then 'radio-6GHz' when 1 then 'radio-10GHz' else 'radio-22GHz' end as bandpass from ({FACTS}) where odd = 3")
 def radio_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.photometry_rows(_extracted(spark, sf_dir))
+    rows = extract.photometry_rows(_extracted(spark, sf_dir, "photometry"))
     return rows.filter("flux_density is not null").select("circular_id", "flux_density", "flux_density_error", "flux_density_unit", "frequency_ghz", "bandpass")
 
 
@@ -182,25 +181,27 @@ def redshift_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select circular_id, case z_kind when 0 then 'spectroscopic' when 1 then 'photometric' end as measure, case z_kind when 2 then 'absorption' end as type from ({FACTS}) where odd <> 2")
 def redshift_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = _extracted(spark, sf_dir).filter("redshift is not null")
+    z = _extracted(spark, sf_dir, "redshift").filter("redshift is not null")
     return z.select("circular_id", F.col("redshift.redshift_measure").alias("measure"), F.col("redshift.redshift_type").alias("type"))
 
 
 CLASS = ["type Ia", "SN Ib", "kilonova", "TDE", "SN IIn"]
-_CLASS_SQL = " ".join(f"when {k} then '{classes.aliases()[c.lower()]}'" for k, c in enumerate(CLASS))
-_PATH_SQL = " ".join(f"when {k} then '{'/'.join(classes.paths()[classes.aliases()[c.lower()]])}'" for k, c in enumerate(CLASS))
+_KINDS = ["Ia", "Ib", "kilonova", "Tidal Disruption Event", "IIn"]
+_SN = "Time-domain Source/Stellar variable/Cataclysmic/Supernova"
+_PLACES = [f"{_SN}/Type I/Ia", f"{_SN}/Type I/Ib", "Time-domain Source/Stellar variable/Cataclysmic/compact merger/DNS/kilonova", "Time-domain Source/Nonstellar/Galactic Nuclei/Tidal Disruption Event", f"{_SN}/Type II/IIn"]
+_CLASS_SQL, _PATH_SQL = (" ".join(f"when {k} then '{x}'" for k, x in enumerate(xs)) for xs in (_KINDS, _PLACES))
 
 
 @query(f"select circular_id, case circular_id % {len(CLASS)} {_CLASS_SQL} end as classification, case circular_id % {len(CLASS)} {_PATH_SQL} end as path from ({FACTS})")
 def class_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.element_at(F.array(*map(F.lit, CLASS)), (F.col("circular_id") % len(CLASS) + 1).cast("int"))
     rows = _facts(spark, sf_dir).select("circular_id", F.lit("").alias("subject"), F.concat(F.lit("The spectrum is consistent with a "), named, F.lit(" at early times.")).alias("body"))
-    return extract.extract(rows).select("circular_id", "classification.classification", F.array_join("classification.taxonomy_path", "/").alias("path"))
+    return extract.extract(rows, fields=("classification",)).select("circular_id", "classification.classification", F.array_join("classification.taxonomy_path", "/").alias("path"))
 
 
 @query(f"select circular_id, t_off::double as value, {UNIT} as unit, 'trigger' as reference, t_off * case t_unit when 0 then 1.0::double when 1 then 60.0::double when 2 then 3600.0::double else 86400.0::double end as seconds from ({FACTS}) where odd <> 1")
 def time_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _extracted(spark, sf_dir).select("circular_id", F.explode("time_offsets").alias("o")).select("circular_id", "o.*")
+    rows = _extracted(spark, sf_dir, "time_offsets").select("circular_id", F.explode("time_offsets").alias("o")).select("circular_id", "o.*")
     return rows.withColumn("seconds", S.offset_seconds(F.col("value"), F.col("unit")))
 
 
@@ -212,15 +213,15 @@ def epoch_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("circular_id", "obs_time")
 
 
-@query(f"select circular_id, epoch(day::timestamp + to_seconds(t_off * case t_unit when 0 then 1 when 1 then 60 when 2 then 3600 else 86400 end)) / 86400.0 + 40587.0 as obs_mjd from ({FACTS}) where odd not in (1, 3)")
-def epoch_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements dated by their offset from a trigger at midnight of the order's day."""
-    day = _facts(spark, sf_dir).filter("odd not in (1, 3)").select("circular_id", F.to_timestamp("day").alias("trigger_time"))
-    rows = extract.photometry_rows(extract.extract(circulars(spark, sf_dir).join(day, "circular_id")))
-    return rows.select("circular_id", F.round("obs_mjd", 6).alias("obs_mjd"))
+_DATED = "round(epoch(day::timestamp + to_seconds(t_off * case t_unit when 0 then 1 when 1 then 60 when 2 then 3600 else 86400 end)) / 86400.0 + 40587.0, 6)"
 
 
-ORACLES["epoch_relative"] = ORACLES["epoch_relative"].replace("select circular_id, epoch", "select circular_id, round(epoch").replace("+ 40587.0 as", "+ 40587.0, 6) as")
+@query(f"select circular_id, case when odd = 1 then null else {_DATED} end as obs_mjd from ({FACTS}) union all select circular_id, {_DATED} from ({FACTS}) where odd = 3")
+def epoch_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements dated by their offset from a trigger at midnight of the order's day; those without an offset stay undated."""
+    day = _facts(spark, sf_dir).select("circular_id", F.to_timestamp("day").alias("trigger_time"))
+    rows = extract.photometry_rows(extract.extract(circulars(spark, sf_dir).join(day, "circular_id"), fields=("photometry",)))
+    return rows.select("circular_id", F.round("obs_mjd", 6).alias("obs_mjd"))
 
 
 @query(f"select circular_id, odd = 0 as retraction from ({FACTS})")
@@ -285,23 +286,11 @@ def event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.index(c), upsert.event_bridge(c), event).select("circular_id", "score", "created_on")
 
 
-@query("select term, count(*)::bigint as df, sum(n)::bigint as tf from (select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents where lang = 'en') group by all) group by term")
+@query("select term, count(*)::bigint as df, sum(n)::bigint as tf from (select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_extract_all(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[\\pL\\pN]+')) as term from documents) group by all) group by term")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and term frequencies from the stored token index of the English documents."""
-    d = _table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("circular_id"), F.lit("").alias("subject"), F.col("text").alias("body"))
-    each = search.postings(d).filter("col = 'body'").filter(F.col("term").rlike("^[a-z0-9]+$"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("tf"))
-
-
-ORACLES["postings"] = "select term, count(*)::bigint as df, sum(n)::bigint as tf from (select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_extract_all(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[\\pL\\pN]+')) as term from documents where lang = 'en') group by all) where regexp_full_match(term, '[a-z0-9]+') group by term"
-
-
-@query()
-def postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and term frequencies of every term of all documents; SQL can't state the tokens alike."""
+    """Document and term frequencies of every term of all documents, from the inverted index."""
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("circular_id"), F.lit("").alias("subject"), F.col("text").alias("body"))
-    each = search.postings(d).filter("col = 'body'")
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("tf"))
+    return search.postings(d).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("tf"))
 
 
 _SEP = "degrees(atan2(sqrt(pow(cos(radians(dec2)) * sin(radians(ra2 - ra)), 2) + pow(cos(radians(dec)) * sin(radians(dec2)) - sin(radians(dec)) * cos(radians(dec2)) * cos(radians(ra2 - ra)), 2)), sin(radians(dec)) * sin(radians(dec2)) + cos(radians(dec)) * cos(radians(dec2)) * cos(radians(ra2 - ra)))) * 3600"
@@ -334,7 +323,7 @@ def fuse_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select cust, z_milli / 1000.0 as redshift from ({FACTS}) where odd <> 2 qualify row_number() over (partition by cust order by case z_kind when 0 then 2 when 1 then 1 else 0 end desc, case z_kind when 2 then 1 else 0 end desc, circular_id) = 1")
 def fuse_redshift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = _extracted(spark, sf_dir).select("circular_id", "redshift.*")
+    z = _extracted(spark, sf_dir, "redshift").select("circular_id", "redshift.*")
     return fusion.best_redshift(z.join(_facts(spark, sf_dir).select("circular_id", "cust"), "circular_id"), "cust", "circular_id")
 
 
@@ -363,13 +352,8 @@ def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.drop_reasons(fusion.actions(_extracted(spark, sf_dir), {}))
 
 
-@query("select p_brand, min(p_size) as p_size from part where p_partkey % 97 = 0 group by p_brand having count(distinct p_size) = 1")
-def instrument_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.unique_instruments(_table(spark, sf_dir, "part").filter("p_partkey % 97 = 0"), "p_brand", "p_size")
-
-
 @query("select l_orderkey, min(l_suppkey) as l_suppkey from lineitem group by l_orderkey having count(distinct l_suppkey) = 1")
-def instrument_unique_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def instrument_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over a whole table: orders that one supplier alone delivers."""
     return fusion.unique_instruments(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")
 
@@ -388,19 +372,51 @@ def tolerant_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consume.dedup_batch(e.select(F.col("user_id").cast("string").alias("obj_id"), F.col("event_type").alias("filter"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400e6)).alias("mjd")), 0.25)
 
 
-@query("select toxic, token, count(*)::bigint as c from (select toxic, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from documents join labels using (doc_id)) group by all")
+_NB = """with w as (select label, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as u from (select doc_id, toxic::varchar as label, text from documents join labels using (doc_id))),
+t as (select label, unnest(list_concat(u, list_transform(range(1, greatest(len(u), 1)), lambda i: concat(u[i], '_', u[i + 1])))) as token from w),
+c as (select label, token, count(*)::bigint as c from t group by all),
+v as (select token from c group by token having sum(c) >= 2),
+k as (select c.* from c join v using (token))"""
+
+
+@query(f"{_NB} select label, token, c from k")
 def nb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    return rows.select("toxic", F.explode(words).alias("token")).groupBy("toxic", "token").agg(F.count(F.lit(1)).alias("c"))
+    """The counts that the classifier is fitted to: words and pairs that occur twice or more."""
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").select(F.col("toxic").cast("string").alias("label"), "text")
+    return classify.counts(rows)
+
 
+_NB_MODEL = f"""{_NB}, n as (select label, sum(c) as n from k group by label), s as (select count(*) as v from v),
+p as (select label, round(ln(count(*) / sum(count(*)) over ()), 4) as prior from w group by label),
+m as (select label, prior, round(ln(1.0::double / (n + v)), 4) as unknown from n cross join s join p using (label)),
+f as (select label, token, round(ln((c + 1)::double / (n + v)), 4) as logp from k join n using (label) cross join s)"""
 
-@query()
+
+@query(f"""{_NB_MODEL}, d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as u from documents),
+e as (select doc_id, unnest(list_concat(u, list_transform(range(1, greatest(len(u), 1)), lambda i: concat(u[i], '_', u[i + 1])))) as token from d),
+z as (select doc_id, count(*) as n from e group by doc_id),
+g as (select e.doc_id, f.label, sum(f.logp - m.unknown) as gain from e join f using (token) join m on m.label = f.label group by all),
+r as (select d.doc_id, m.label, m.prior + coalesce(z.n, 0) * m.unknown + coalesce(g.gain, 0) as score from d cross join m left join z using (doc_id) left join g on g.doc_id = d.doc_id and g.label = m.label)
+select doc_id, label as predicted from r qualify row_number() over (partition by doc_id order by round(score, 6) desc, label) = 1""")
 def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive Bayes labels of all documents from a fit on the labelled ones."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     known = docs.join(_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("label")), "doc_id")
-    return classify.predict(classify.score(docs, classify.fit(known), "doc_id"), "doc_id")
+    scores = classify.score(docs, classify.fit(known), "doc_id")
+    return classify.predict(scores.withColumn("score", F.round("score", 6)), "doc_id")
+
+
+@query(f"{_NB_MODEL} select label, token, logp from f")
+def nb_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").select(F.col("toxic").cast("string").alias("label"), "text")
+    return classify.fit(rows)["feature"]
+
+
+@query(f"{_NB_MODEL} select label, prior, unknown from m")
+def nb_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").select(F.col("toxic").cast("string").alias("label"), "text")
+    model = classify.fit(rows)
+    return model["prior"].withColumnRenamed("logp", "prior").join(model["default"].withColumnRenamed("logp", "unknown"), "label")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,7 +443,13 @@ def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(rows, "z_kind")
 
 
-@query()
+@query(f"""with recursive r as (select circular_id, line, {BAND} as filter, mag_centi / 100.0::double as mag, line % 3 as k from ({lines_sql(True)})),
+g as (select circular_id, list({{'line': line, 'filter': filter, 'mag': mag}} order by line, filter, mag) as gold, list({{'line': line, 'filter': filter, 'mag': mag + k * 0.04::double}} order by line, filter, mag + k * 0.04::double) as pred from r group by circular_id),
+m(circular_id, i, used, tp) as (select circular_id, 0, []::bigint[], 0 from g
+  union all select circular_id, i + 1, case when j is null then used else list_append(used, j) end, tp + (j is not null)::int from (
+    select m.circular_id, m.i, m.used, m.tp, list_filter(range(1, len(g.pred) + 1), lambda x: not list_contains(m.used, x) and g.pred[x].filter = g.gold[m.i + 1].filter and abs(g.gold[m.i + 1].mag - g.pred[x].mag) <= 0.05)[1] as j
+    from m join g using (circular_id) where m.i < len(g.gold)) s)
+select circular_id, tp, (len(pred) - tp)::int as fp, (len(gold) - tp)::int as fn from m join g using (circular_id) where i = len(gold)""")
 def eval_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements of a bulletin matched one to one with shifted ones, greedily in order."""
     register(spark, sf_dir, "lineitem")
@@ -448,7 +470,15 @@ def running_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.within_budget(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 60).select("l_orderkey", "l_linenumber")
 
 
-@query()
+@query("""with recursive d as (select doc_id, replace(text, chr(10), concat(chr(10), chr(10))) as t from documents),
+p as (select doc_id, string_split(t, concat(chr(10), chr(10))) as ps from d where length(t) > 2000),
+f(doc_id, i, now, k, done) as (select doc_id, 1, ps[1], 0, null::varchar from p
+  union all select doc_id, i + 1, case when length(grown) > 1000 then concat(substr(now, greatest(length(now) - 99, 1), 100), chr(10), chr(10), q) else grown end,
+    k + (length(grown) > 1000)::int, case when length(grown) > 1000 then now end
+  from (select f.doc_id, f.i, f.now, f.k, p.ps[f.i + 1] as q, concat(f.now, chr(10), chr(10), p.ps[f.i + 1]) as grown from f join p using (doc_id) where f.i < len(p.ps)) s),
+c as (select doc_id, 0 as k, t as chunk from d where length(t) <= 2000 union all select doc_id, k - 1, done from f where done is not null
+  union all select f.doc_id, f.k, f.now from f join p using (doc_id) where f.i = len(p.ps))
+select doc_id, k, length(chunk)::int as size, md5(chunk) as chunk_md5 from c""")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines as paragraphs, folded into overlapping chunks."""
     d = _table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
@@ -491,15 +521,22 @@ def event_circulars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.event_circulars(c, upsert.event_bridge(c), event).select("circular_id", F.lit(event.replace(" ", "")).alias("event"))
 
 
-_ALIASES = ", ".join(f"('{a}', '{n}')" for a, n in classes.aliases().items())
+# Written names and their classes, read off the taxonomy by hand.
+SPELT = {
+    "sn ia": "Ia", "ia-p": "Ia", "1991t-like": "Ia-91T", "2002cx-like": "Ia-02cx", "super chandra": "Ia-03fg", "hypernova": "Ic-BL", "slsn-i": "Ic-SLSN", "slsn ii": "II-SLSN", "snii": "II-norm",
+    "sn ii-l": "IIL", "tde": "Tidal Disruption Event", "sso": "Solar System Object", "kn": "kilonova", "ns-ns": "DNS", "xrf": "X-ray Flash", "lgrb": "long GRB", "felt": "FBOT", "lrn": "Luminous Red Nova",
+    "psr": "Pulsar", "flare star": "UV Ceti", "lbv": "S Doradus", "w uma": "W Ursae Maj", "beta per": "Algol", "rrab": "RRab", "ogle small-amplitude red giant": "OSARG", "cwb": "BL Her", "53 persei": "SPB",
+    "lens with planet": "lens with planet", "qso": "QSO", "gravitational lensing": "gravitational lensing",
+}
+_ALIASES = ", ".join(f"({k}, '{n}')" for k, n in enumerate(SPELT.values()))
 
 
-@query(f"select c_custkey, t.n as canonical from (select *, {len(classes.aliases())} as k from customer) join (select a, n, row_number() over (order by a) - 1 as i from (values {_ALIASES}) v(a, n)) t on t.i = c_custkey % k")
+@query(f"select c_custkey, t.n as canonical from customer join (values {_ALIASES}) t(k, n) on t.k = c_custkey % {len(SPELT)}")
 def taxonomy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written class names (here dealt to customers) to canonical ones through the alias table."""
     aliases = readers.taxonomy_tables(spark)[0]
-    spelt = F.array(*(F.lit(a) for a in sorted(classes.aliases(), key=lambda a: a.encode())))
-    c = _table(spark, sf_dir, "customer").select("c_custkey", F.get(spelt, (F.col("c_custkey") % len(classes.aliases())).cast("int")).alias("alias_lower"))
+    spelt = F.array(*map(F.lit, SPELT))
+    c = _table(spark, sf_dir, "customer").select("c_custkey", F.get(spelt, (F.col("c_custkey") % len(SPELT)).cast("int")).alias("alias_lower"))
     return c.join(F.broadcast(aliases), "alias_lower").select("c_custkey", "canonical")  # the taxonomy is of fixed size
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from .. import schemas
 from ..functions import scalars as S
-from ..text import classes
+from ..text import taxonomy
 
 TOPIC = "gcn.circulars"
 
@@ -141,9 +141,10 @@ def untar(spark: SparkSession, tarball: str, out: str, force: bool = False) -> s
     return str(folder)
 
 
-def taxonomy_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """alias_lower, canonical, ord (the first claim of a name has it), and class, path."""
-    claims = [(a.lower(), name, k) for k, (name, _, more) in enumerate(classes.taxonomy()) for a in (name, *more)]
+def taxonomy_tables(spark: SparkSession, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """alias_lower, canonical, ord (the first claim of a name has it), and class, path; folder: another version's YAML files."""
+    entries = taxonomy.load(folder) if folder else taxonomy.builtin()
+    claims = [(a.lower(), name, k) for k, (name, _, more) in enumerate(entries) for a in (name, *more)]
     aliases = spark.createDataFrame(claims, "alias_lower string, canonical string, ord int")
     first = aliases.groupBy("alias_lower").agg(F.min_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
-    return first, spark.createDataFrame(list(classes.paths().items()), "class string, path array<string>")
+    return first, spark.createDataFrame(list(taxonomy.paths_of(entries).items()), "class string, path array<string>")

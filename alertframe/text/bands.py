@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+from .cues import phrases
+
 # Filter spellings, their systems and their canonical bandpasses.
 PRIMES = "'’ʹ′"
 FILTER = rf"(?:F\d{{3}}[A-Z]{{1,2}}|VT_[BR]|uvw1|uvw2|uvm2|white|unfiltered|clear|CR|CV|[UBVRI]c|[ugriz][p{PRIMES}]|[UBVRIJHKgrizyuCW]s?)"
@@ -36,10 +38,13 @@ SOFT_XRAY = (0.2, 12.4, "swiftxrt")
 KNOWN = frozenset((*AB_FILTERS, *VEGA_FILTERS, *OTHER_FILTERS))
 
 
+_PLAIN = {f + "c": f for f in "UBVRI"} | {f + p: f for f in "ugriz" for p in "p" + PRIMES}
+_SYSTEMS = {s: phrases(f"{s} mag|mags|magnitude|magnitudes|system|photometric", *(f"magnitude|magnitudes {x} {s}" for x in ("in", "in the", "are in", "are in the", "are|given|reported|calibrated in", "are given|reported|calibrated in", "are given|reported|calibrated in the"))) for s in ("AB", "Vega")}
+
+
 def folded(name: str) -> str:
     """Rc is R, and r' is r."""
-    two = len(name) == 2
-    return name[0] if two and (name[0] in "UBVRI" and name[1] == "c" or name[0] in "ugriz" and name[1] in "p" + PRIMES) else name
+    return _PLAIN.get(name, name)
 
 
 def system_of(name: str) -> str | None:
@@ -47,13 +52,15 @@ def system_of(name: str) -> str | None:
 
 
 def stated_system(text: str) -> str | None:
-    """The one magnitude system that the text names."""
-    named = [s for s in ("AB", "Vega") if re.search(rf"\(\s*{s}\s*\)|\b{s}\s+(?:mag(?:nitude)?s?|system|photometric)|magnitudes?\s+(?:are\s+)?(?:given\s+|reported\s+|calibrated\s+)?in\s+(?:the\s+)?{s}\b", text, re.I)]
+    """The one magnitude system that the text names, in words or in brackets."""
+    squeezed = re.sub(r"\s+", "", text).lower()
+    named = [s for s, cue in _SYSTEMS.items() if f"({s.lower()})" in squeezed or cue.search(text)]
     return named[0] if len(named) == 1 else None
 
 
 def plausible(name: str, mag: float) -> bool:
-    return 5.0 < mag < 30.0 and not (name == "z" and mag < 10.0)
+    """Brighter or fainter than any source; z below 10 is a redshift."""
+    return 5.0 < mag < 30.0 if name != "z" else 10.0 <= mag < 30.0
 
 
 def radio_band(ghz: float) -> str | None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import cache
 
+from .cues import pattern
+
 # The designations that count as event names, all matched without regard to case.
 EVENT_FORMS = (
     r"GRB\s?\d{6}[A-Z]?",
@@ -25,18 +27,11 @@ EVENT_FORMS = (
 )
 # Fixed value: how one bulletin cites another.
 XREF = r"\bGCN\s*(?:Circ(?:ular|\.)?\s*)?#?\s*(\d{1,7})\b"
-# What a subject line says when it withdraws a report.
-RETRACTIONS = (
-    r"\bis\s+not\s+a\s+(?:GRB|burst|real|astrophysical)",
-    r"\bnot\s+astrophysical",
-    r"\bprobably\s+a\s+noise",
-    r"\bconsistent\s+with\s+noise",
-    r"\bretract(?:ion|ed|ing|s)?\b",
-    r"\bspurious\b",
-    r"\bnot\s+a\s+real\s+(?:event|source|transient)",
-    r"\bno\s+longer\s+believe",
-    r"\bnot\s+of\s+astrophysical\s+origin",
-)
+# What a subject line says when it withdraws a report.
+RETRACTION = pattern(
+    "is not a grb|burst|real|astrophysical", "not astrophysical", "not of astrophysical origin", "not a real event|source|transient", "probably a noise*", "consistent with noise*",
+    "retract|retracts|retracted|retracting|retraction", "spurious", "no longer believe*",
+)
 # Telescopes and instruments, and the ways they are written.
 TELESCOPES = {
     "VLT": ["VLT", "ESO VLT", "ESO-VLT", "Very Large Telescope", "the VLT", "VLT/X-shooter", "VLT/FORS2"],
@@ -72,6 +67,7 @@ INSTRUMENTS = {
 }
 
 _XREF = re.compile(XREF, re.I)
+_RETRACTION = re.compile(RETRACTION, re.I)
 _FORMS = [re.compile(rf"\b(?:{f})\b", re.I) for f in EVENT_FORMS]
 
 
@@ -117,7 +113,7 @@ def find_xrefs(text: str) -> list[dict]:
 
 
 def is_retraction(subject: str | None) -> bool:
-    return bool(subject) and re.search("|".join(RETRACTIONS), subject, re.I) is not None
+    return bool(subject) and _RETRACTION.search(subject) is not None
 
 
 @cache
@@ -134,22 +130,32 @@ def canonical(kind: str, written: str | None) -> str | None:
 
 
 @cache
-def _telescope_forms() -> tuple[re.Pattern[str], re.Pattern[str]]:
+def _known() -> re.Pattern[str]:
     spelt = sorted({a for n, more in TELESCOPES.items() for a in (n, *more) if len(a) > 2}, key=lambda a: (-len(a), a))
-    capitals = "|".join(re.escape(a) for a in spelt if a.isupper())  # else NOT would be any "not"
-    others = "|".join(re.escape(a) for a in spelt if not a.isupper())
-    word = r"(?:[A-Z][\w.+-]*|\d[\w.'\"-]*)"
-    named = rf"\b(?:with|at|using|on|from)\s+the\s+({word}(?:[ -](?:{word}|of|de)){{0,4}})\s+(?:telescope|observatory)\b"
-    return re.compile(rf"\b(?:(?:{capitals})|(?i:{others}))\b"), re.compile(named, re.I)
+    capitals, others = ("|".join(re.escape(a) for a in spelt if a.isupper() is upper) for upper in (True, False))
+    return re.compile(rf"\b(?:(?:{capitals})|(?i:{others}))\b")  # capitals as they are: else NOT would be any "not"
+
+
+def _described(text: str) -> tuple[int, int] | None:
+    """The name in "with the ... telescope": up to five words, capitals, numbers, of and de, back to a preposition's "the"."""
+    for m in re.finditer(r"\b(?:telescope|observatory)\b", text, re.I):
+        before = list(re.finditer(r"[\w.+'\"-]+", text[max(0, m.start() - 120) : m.start()]))
+        base, k = max(0, m.start() - 120), len(before)
+        while k and len(before) - k < 5 and before[k - 1][0].lower() != "the" and (before[k - 1][0][0].isalnum() or before[k - 1][0] in ("of", "de")):
+            k -= 1
+        if 1 < k < len(before) and before[k - 1][0].lower() == "the" and before[k - 2][0].lower() in ("with", "at", "using", "on", "from"):
+            return base + before[k].start(), base + before[-1].end()
+    return None
 
 
 def find_telescope(text: str) -> dict | None:
     """A known name, or what stands in "with the ... telescope" if that comes first and apart from it."""
-    known, named = (p.search(text) for p in _telescope_forms())
-    if known and (not named or known.start() <= named.end()):
-        name, a, b = known[0], known.start(), known.end()
+    known, named = _known().search(text), _described(text)
+    if known and (not named or known.start() <= named[1]):
+        a, b = known.span()
     elif named:
-        name, a, b = named[1], named.start(1), named.end(1)
+        a, b = named
     else:
         return None
-    return {"name": re.sub(r"^the\s+", "", name.strip(), flags=re.I), "start": a, "end": b}
+    name = text[a:b].strip()
+    return {"name": name[4:] if name.lower().startswith("the ") else name, "start": a, "end": b}
