@@ -10,7 +10,7 @@ of a text its marginal probability; tokens at or above one half make the offendi
 the largest marginal, their sum, their mean and the toxic tokens' number is the document's score.
 
 Chains are lines, of any length. All tokens of a batch are one sequence of 2 x 2 steps in which a chain's first step
-forgets what was before it; the sequence is cut into stretches of `STRETCH` steps that advance together in numpy, and
+forgets what was before it; the sequence is cut into stretches of at most `STRETCH` steps that advance together in numpy, and
 messages are carried across the cuts, so that marginals are exact. The model is of fixed size. Inputs of a score are the
 text's words alone.
 
@@ -32,6 +32,8 @@ from .common import id_text, write_table
 from .kernels import ALNUM, U64, byte_values, fingerprints, mix, pieces, utf8, words
 
 STRETCH = 256
+#: Bytes of text that are tagged at once: a token takes some 500 bytes on the way.
+PIECE = 1 << 19
 BUCKETS = 1 << 20
 _VALUES = byte_values(ALNUM, True)
 _BREAK = 10
@@ -77,7 +79,7 @@ class Model:
 def _carry(m: np.ndarray) -> np.ndarray:
     """Row vectors (share of state 1) after each of the 2 x 2 matrices m[:, :, k], from (1/2, 1/2) on."""
     n = m.shape[2]
-    width = max(1, min(STRETCH, n))
+    width = max(1, min(STRETCH, n, 16 + n // 2048))
     rows = -(-n // width)
     pad = np.broadcast_to(np.eye(2)[:, :, None], (2, 2, rows * width - n))
     steps = np.concatenate([m, pad], axis=2).reshape(2, 2, rows, width)
@@ -107,11 +109,11 @@ def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tup
         return np.empty(0), np.zeros((2, 2))
     t, x = np.exp(trans), np.exp(e)
     inner = np.where(first, 1.0, t[:, :, None])  # a first token's step is the same from both states
-    f = _carry(np.stack([inner[:, 0], inner[:, 1] * x], axis=1))
-    into = np.stack([inner[:, 0], inner[:, 1] * x], axis=1)[:, :, ::-1]  # messages against the direction: from k to k - 1
-    back = np.swapaxes(into, 0, 1)
+    steps = np.stack([inner[:, 0], inner[:, 1] * x], axis=1)
+    del inner
+    f = _carry(steps)
     b = np.full(len(e), 0.5)
-    b[:-1] = _carry(back)[::-1][1:]
+    b[:-1] = _carry(np.swapaxes(steps[:, :, ::-1], 0, 1))[::-1][1:]  # messages against the direction: from k to k - 1
     later = ~first
     later[0] = False
     p, one, zero = f[:-1][later[1:]], (x * b)[later], (1 - b)[later]
@@ -171,7 +173,7 @@ def _frequencies(docs: DataFrame, terms: np.ndarray, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, len(terms)), np.int64)
-        for b in pieces(batches, "text") if len(terms) else ():
+        for b in pieces(batches, "text", PIECE) if len(terms) else ():
             toxic = b.column(0).to_numpy()
             starts, ends, first = words(*(d := utf8(b.column(1))), ALNUM)
             t = fingerprints(d[0], starts, ends, _VALUES)
@@ -234,7 +236,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             data, offsets = utf8(b.column(1))
             c = chains(data, offsets)
             p = marginals(m, c)
