@@ -39,7 +39,7 @@ _STEP = U64(0x9E3779B97F4A7C15)
 _BITS = U64(48)
 _LOW = U64((1 << 48) - 1)
 #: Cells of the table of shingle frequencies, and how many ways a component's rows are spread.
-CELLS, SALTS = 1 << 20, 32
+CELLS, SALTS = 1 << 18, 32
 
 
 def shingle_bags(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -55,10 +55,13 @@ def _cut(text: Column, starts: Column, size: int) -> Column:
 
 
 def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW) -> DataFrame:
-    """docs with text cleaned, and dd_removed: the places (from 0) of the lines that went, null if none did.
+    """docs with text cleaned, and a last column dd_removed: the places (from 0) of the lines that went, null if none did.
 
-    Other columns pass through as they are.
+    Other columns pass through as they are; if one is called dd_removed, the new one has an underscore more.
     """
+    name = "dd_removed"
+    while name in docs.columns:
+        name += "_"
     t = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("d"), t.alias("t"), F.xxhash64(t).alias("th"))
     slim = own.select("d", "th", F.explode(_windows(F.col("t"), size)).alias("w")).select("d", "th", "w.k", "w.h1", "w.h2")
@@ -69,8 +72,8 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: i
     joined = own.join(gone, F.col("d").eqNullSafe(F.col("gd")) & (F.col("th") == F.col("gth")), "left")
     cut = joined.select("row", F.when(F.col("starts").isNotNull(), _cut(F.col("t"), F.col("starts"), size)).alias("cut"))
     clean = F.when(F.col("cut").isNotNull(), F.col("cut.text")).otherwise(F.col(f"row.`{text}`"))
-    kept = [(clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "dd_removed"]
-    return cut.select(*kept, F.col("cut.removed").alias("dd_removed"))
+    kept = [(clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return cut.select(*kept, F.col("cut.removed").alias(name))
 
 
 ORACLE = r"""

@@ -132,15 +132,15 @@ def near(lists: list[np.ndarray], width: int, starts: np.ndarray) -> np.ndarray:
     return at
 
 
-def search(index: DataFrame, benchmark: DataFrame, size: int = 10, item: str = "item_id", text: str = "text", proximity: int = 0, block: int = 20_000) -> DataFrame:
+def search(index: DataFrame, benchmark: DataFrame, size: int = 10, item: str = "item_id", text: str = "text", proximity: int = 0, block: int = 20_000, signs: int = 16_000_000) -> DataFrame:
     """A row per indexed document: its words, hit words, items (sorted strings) and merged hit spans (in words).
 
     proximity 0 asks for exact phrases: all words of a window in a row. proximity p > 0 asks for all words of a
     window within p words of its rarest one, in any order; the span is then that word's.
     """
     asked = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    n_items = asked.count()
-    blocks = max(1, -(-n_items // block))
+    sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("signs")).first()
+    blocks = max(1, -(-sizes.n // block), -(-sizes.signs // signs))  # what the driver and a task hold at once
     parts = [_search_block(index, asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), size, proximity) for k in range(blocks)]
     out = parts[0]
     for p in parts[1:]:
