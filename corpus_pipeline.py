@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier passages; those left without a word go."""
     done = line_dedup.line_dedup(docs)
-    changed = F.col("dd_removed").isNotNull()
+    changed = F.col(f"`{done.columns[-1]}`").isNotNull()
     n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     emptied = changed & ~F.col("text").rlike(NOT_WS)
     return done.filter(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
