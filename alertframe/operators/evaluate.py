@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,12 @@ def join_gold(pred: DataFrame, gold: DataFrame, key: str = "circular_id", order:
     return pred.join(last, key)
 
 
-def greedy_matches(gold: Column, pred: Column) -> Column:
-    """Outcomes of two arrays of (filter, mag, lim): each gold row takes the first free prediction that fits it."""
+def _near(a: Column, b: Column, tolerance: float) -> Column:
+    return F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+
 
-    def fits(g: Column, p: Column) -> Column:
-        near = lambda a, b, t: F.coalesce(F.abs(a - b) <= t, F.lit(False))
-        return g["filter"].eqNullSafe(p["filter"]) & (near(g["mag"], p["mag"], TOLERANCE["mag"]) | near(g["lim"], p["lim"], TOLERANCE["limit"]))
+def _greedy(gold: Column, pred: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """tp, fp, fn of two arrays: each gold row takes the first free prediction that fits it."""
 
     def step(a: Column, g: Column) -> Column:
         free = F.filter(F.sequence(F.lit(0), F.size(pred) - 1), lambda i: ~F.array_contains(a["used"], i) & fits(g, F.get(pred, i)))
@@ -55,6 +57,35 @@ def greedy_matches(gold: Column, pred: Column) -> Column:
     return F.struct(tp.alias("tp"), (F.size(pred) - tp).alias("fp"), (F.size(gold) - tp).alias("fn"))
 
 
+def greedy_matches(gold: Column, pred: Column) -> Column:
+    """Measurements (filter, mag, lim): the same filter, and magnitudes or limits that are near."""
+    near = lambda g, p, c, t: _near(g[c], p[c], TOLERANCE[t])
+    return _greedy(gold, pred, lambda g, p: g["filter"].eqNullSafe(p["filter"]) & (near(g, p, "mag", "mag") | near(g, p, "lim", "limit")))
+
+
+def greedy_offsets(gold: Column, pred: Column) -> Column:
+    """Time offsets (value, unit): the same unit, and values that are near."""
+    return _greedy(gold, pred, lambda g, p: (g["unit"] == p["unit"]) & _near(g["value"], p["value"], TOLERANCE["offset"]))
+
+
+def binary_f1(rows: DataFrame, gold: str, pred: str) -> DataFrame:
+    """One row: precision, recall and f1 of labels (null: abstains); 0 without a denominator. A wrong label is a false
+    positive and a false negative."""
+    g, p = F.col(gold), F.col(pred)
+    n = lambda c: F.count(F.when(c, 1))
+    counts = rows.agg(n(g == p).alias("tp"), n(p.isNotNull() & ~g.eqNullSafe(p)).alias("fp"), n(g.isNotNull() & ~g.eqNullSafe(p)).alias("fn"))
+    part = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(0.0)
+    both = counts.select("tp", "fp", "fn", part("tp", "fp").alias("precision"), part("tp", "fn").alias("recall"))
+    total = F.col("precision") + F.col("recall")
+    return both.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
+
+
+def usage(runs: DataFrame, *by: str) -> DataFrame:
+    """Calls, tokens in and out, and cost per group of a run's telemetry; nulls count as nothing."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), total("tokens_in"), total("tokens_out"), total("cost_usd"))
+
+
 def ratios(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     """Precision, recall and F1; null where they have no denominator, F1 also where both are 0."""
     p, r = F.when(tp + fp != 0, tp / (tp + fp)), F.when(tp + fn != 0, tp / (tp + fn))
@@ -77,12 +108,13 @@ def first_failures(comparisons: DataFrame, field: str, order: str, k: int = 5) -
 def nearest_rank(df: DataFrame, group: str, value: str) -> DataFrame:
     """p50 and p95 as the element at n div 2 and at min(n - 1, int(0.95 n)) of the sorted values.
 
-    By rank over a sort rather than a collected list, so that a hot group is no one row's array.
+    From one row per distinct value and a running count, so that repeats cost nothing and no group is one row's array.
     """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(group)
-    ranked = df.filter(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
-    return ranked.groupBy(group).agg(at(F.floor(F.col("_n") / 2)).alias("p50"), at(F.least(F.col("_n") - 1, F.floor(F.col("_n") * 95 / 100))).alias("p95"))
+    upto = counts.withColumns({"_to": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
+    at = lambda i: F.min(F.when(F.col("_to") > i, F.col(value)))
+    return upto.groupBy(group).agg(at(F.floor(F.col("_n") / 2)).alias("p50"), at(F.least(F.col("_n") - 1, F.floor(F.col("_n") * 95 / 100))).alias("p95"))
 
 
 def within_budget(df: DataFrame, group: str, order: list[str], cost: str, budget: float) -> DataFrame:

@@ -9,8 +9,9 @@ from ..text.bands import PHOTOMETRY
 
 # Chunk sizes in characters, and which source answers which field first.
 WHOLE, SIZE, OVERLAP = 30_000, 20_000, 1_500
-ROUTES = {
-    "event": "regex", "follow_up": "regex", "localization": "regex", "time_offsets": "regex", "redshift": "model", "classification": "model", "photometry": "model", "retraction": "regex",
+ROUTES: dict[str, tuple[str, str | None]] = {
+    "event": ("regex", "model"), "localization": ("regex", None), "follow_up": ("model", "regex"), "time_offsets": ("model", None), "photometry": ("model", "regex"),
+    "classification": ("model", None), "redshift": ("model", "regex"), "retraction": ("regex", None),
 }
 ROW_KEY = ("filter", "mag", "limiting_mag", "telescope", "instrument")
 
@@ -41,27 +42,77 @@ def merge_scalars(found: DataFrame, group: str, order: str, *columns: str) -> Da
     return found.groupBy(group).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
 
 
-def route(regex: DataFrame, model: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Per field the routed source's value, or the other's where that is null or empty; provenance follows."""
+def route(regex: DataFrame, model: DataFrame, overrides: dict[str, tuple[str, str | None]] | None = None) -> DataFrame:
+    """Per field the first source's value, or the second's (if there is one) where that is null or empty; provenance is
+    of the source that was taken."""
     routes = ROUTES | (overrides or {})
     both = regex.alias("regex").join(model.alias("model"), "circular_id", "full")
-
-    def present(c: Column, is_list: bool) -> Column:
-        return F.when(F.size(c) > 0, c) if is_list else c
-
     lists = {f.name for f in regex.schema.fields if f.dataType.typeName() == "array"}
-    out = []
-    for c, main in routes.items():
-        other = "model" if main == "regex" else "regex"
-        out.append(F.coalesce(present(F.col(f"{main}.{c}"), c in lists), present(F.col(f"{other}.{c}"), c in lists), F.col(f"{main}.{c}")).alias(c))
-    ours = lambda k, source: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in routes.items() for x in kv)), F.regexp_extract(k, r"^([^.\[]*)", 1)), F.lit("regex")) == source
+    there = lambda source, c: F.coalesce(F.size(F.col(f"{source}.{c}")) > 0, F.lit(False)) if c in lists else F.col(f"{source}.{c}").isNotNull()
+    out, taken = [], []
+    for c, (main, other) in routes.items():
+        use = there(other, c) & ~there(main, c) if other else F.lit(False)
+        out.append(F.when(use, F.col(f"{other or main}.{c}")).otherwise(F.col(f"{main}.{c}")).alias(c))
+        taken += [F.lit(c), F.when(use, other or main).when(there(main, c), main)]
+    base = lambda k: F.regexp_extract(k, r"^([^.\[]*)", 1)
+    source = F.create_map(*taken)
     none = F.create_map().cast("map<string,struct<start:int,end:int,snippet:string>>")
-    kept = {
-        "regex": F.coalesce(F.map_filter(F.col("regex.provenance"), lambda k, v: ours(k, "regex")), none),
-        "model": F.coalesce(F.map_filter(F.col("model.provenance"), lambda k, v: ours(k, "model")), none),
-    }
-    where = F.map_concat(kept["regex"], F.map_filter(kept["model"], lambda k, v: ~F.map_contains_key(kept["regex"], k)))
-    return both.select("circular_id", *out, where.alias("provenance"))
+    of = lambda s: F.coalesce(F.map_filter(F.col(f"{s}.provenance"), lambda k, v: F.coalesce(F.try_element_at("source", base(k)) == s, F.lit(False))), none)
+    both = both.withColumn("source", source)
+    return both.select("circular_id", *out, F.map_concat(of("regex"), of("model")).alias("provenance"))
+
+
+# What marks a filter that is a band in words ("0.5-10 keV"), and the longest name of a telescope.
+BAND_IN_WORDS = r"(?i)\b(?:keV|MeV|GHz|MHz)\b"
+LONGEST_NAME = 64
+
+
+def repair(routed: DataFrame, regex: DataFrame, stated: DataFrame) -> DataFrame:
+    """Four repairs of a model's record by what was parsed; stated: circular_id, telescope, mjd and time of the text.
+
+    Flux rows that the model gave in words come back as parsed ones; rows without a telescope get the parsed one, and
+    names that run on are dropped; a stated epoch (of the parsed rows, if they agree on one, else of the text) replaces
+    the model's; a parsed subtype is kept, and a parsed flare star stands.
+    """
+    one = routed.join(regex.select("circular_id", F.col("photometry").alias("r_rows"), F.col("classification").alias("r_kind")), "circular_id", "left")
+    one = one.join(stated.select("circular_id", F.col("telescope").alias("s_telescope"), F.col("mjd").alias("s_mjd"), F.col("time").alias("s_time")), "circular_id", "left")
+    rows, parsed = F.col("photometry"), F.coalesce("r_rows", F.array().cast(routed.schema["photometry"].dataType))
+    flux = lambda p: p["energy_band_kev"].isNotNull() | p["frequency_ghz"].isNotNull()
+    fluxes = F.filter(parsed, flux)
+    worded = lambda p: p["bandpass"].isNull() & F.coalesce(p["filter"].rlike(BAND_IN_WORDS), F.lit(False))
+    rescued = F.when((F.size(rows) > 0) & ~F.exists(rows, flux) & (F.size(fluxes) > 0), F.concat(F.filter(rows, lambda p: ~worded(p)), fluxes)).otherwise(rows)
+    own = F.get(F.filter(parsed, lambda p: p["telescope"].isNotNull()), F.lit(0))["telescope"]
+    times = F.array_distinct(F.transform(F.filter(parsed, lambda p: p["obs_mjd"].isNotNull() & p["obs_time"].isNotNull()), lambda p: F.struct(p["obs_mjd"].alias("mjd"), p["obs_time"].alias("time"))))
+    epoch = F.when(F.size(times) == 1, F.get(times, F.lit(0))).when(F.col("s_mjd").isNotNull(), F.struct(F.col("s_mjd").alias("mjd"), F.col("s_time").alias("time")))
+    words = lambda n: F.split(F.lower(F.trim(n)), r"\s+")
+    sound = lambda n: (F.length(n) <= LONGEST_NAME) & (F.size(F.array_distinct(words(n))) == F.size(words(n)))
+    one = one.withColumns({"photometry": rescued, "x_telescope": F.coalesce(own, F.col("s_telescope")), "x_epoch": epoch})
+
+    def mended(p: Column) -> Column:
+        new = {
+            "telescope": F.coalesce(F.when(sound(p["telescope"]), p["telescope"]), F.col("x_telescope")),
+            "obs_mjd": F.coalesce(F.col("x_epoch.mjd"), p["obs_mjd"]),
+            "obs_time": F.when(F.col("x_epoch").isNotNull() & ~p["obs_mjd"].eqNullSafe(F.col("x_epoch.mjd")), F.col("x_epoch.time")).otherwise(p["obs_time"]),
+        }
+        return F.struct(*((new[c] if c in new else p[c]).alias(c) for c in PHOTOMETRY))
+
+    kind, theirs = F.col("classification"), F.col("r_kind")
+    flare = theirs["classification"] == "UV Ceti"
+    sub = F.when(kind.isNull() & theirs["subtype"].isNotNull(), theirs).when(kind["subtype"].isNull() & theirs["subtype"].isNotNull(), kind.withField("subtype", theirs["subtype"])).otherwise(kind)
+    out = one.withColumns({"photometry": F.transform("photometry", mended), "classification": F.when(flare, theirs).otherwise(sub)})
+    return out.select(*routed.columns)
+
+
+def merge_lists(found: DataFrame, group: str, order: str) -> DataFrame:
+    """A bulletin's time offsets, notes and provenance over its chunks, each once: the first of equal offsets and notes in
+    order of the chunks, and the first chunk's span of a path."""
+    ordered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(c, F.array().cast(found.select(c).schema[0].dataType)).alias("x")))), lambda s: s["x"]))
+    spans = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.array_sort(F.map_entries("provenance")).alias("x")))), lambda s: s["x"]))
+    keys = F.array_distinct(F.transform("_spans", lambda e: e["key"]))
+    first = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.get(F.filter("_spans", lambda e: e["key"] == k), F.lit(0))["value"])))
+    flat = found.withColumn("notes", F.col("extraction_meta.notes"))
+    ordered_notes = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce("notes", F.array().cast("array<string>")).alias("x")))), lambda s: s["x"]))
+    return flat.groupBy(group).agg(F.array_distinct(ordered("time_offsets")).alias("time_offsets"), F.array_distinct(ordered_notes).alias("notes"), spans.alias("_spans")).withColumn("provenance", first).drop("_spans")
 
 
 def label_view(found: DataFrame, scalars: dict[str, str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from alertframe import schemas
 from alertframe.functions import scalars as S
-from alertframe.operators import backends, classify, evaluate, extract, fusion, labels, sampling, search, sky, store, tools, upsert
+from alertframe.operators import backends, classify, evaluate, events, extract, fusion, labels, sampling, search, sky, store, tools, upsert
 from alertframe.sources import readers, writers
 from alertframe.streaming import consume
 from alertframe.text import classes
@@ -214,17 +214,69 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {tuple(r) for r in consume.dedup_batch(spark.createDataFrame(rows, schema)).collect()}
     assert {tuple(r) for r in spark.table("kept").collect()} == want and len(want) == 5
     known = spark.createDataFrame([("a", "r", 1.01), ("a", "r", 1.0)], schema)
-    assert {tuple(r) for r in consume.prime(spark.createDataFrame(rows, schema), known).collect()} == {r for r in rows if r[:2] != ("a", "r") or r[2] > 1.5}
+    points = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "obj_id string, band string, obs_mjd double, k int")
+    new = events.new_points(points, known, "k")
+    assert {r.k for r in new.collect()} == {3, 4, 5}
+    back = points.withColumn("k", -F.col("k"))  # the last comes first
+    assert {-r.k for r in events.new_points(back, known, "k").collect()} == {3, 4, 6}
 
 
-def test_consume(spark, bulletins, tmp_path):
+def record(number: int, subject: str, body: str) -> dict:
+    return {"circularId": number, "subject": subject, "body": body, "createdOn": 1000 * number}
+
+
+FLURRY = [
+    record(1, "GRB 240101A: GBM detection", "A gamma-ray burst triggered. RA = 10.500, Dec = -3.250. See GCN 2."),
+    record(2, "GRB 240101A: optical counterpart", "AT2024ab is at RA = 10.123, Dec = -3.456. We observed on 2024-01-02 00:00:00. r = 18.00 +/- 0.10. The photometric redshift of 0.5 holds. See GCN 1 and GCN 9."),
+    record(3, "GRB 240101A: spectrum", "Spectroscopic data on 2024-01-02 00:10:00, observed with Keck, give z = 1.234. g = 18.50 +/- 0.10. See GCN 2."),
+]
+
+
+def test_fused_event(spark):
+    bulletins = readers.to_circulars(spark.createDataFrame(FLURRY, schemas.RECORD))
+    seeds = bulletins.filter("circular_id in (1, 3)")
+    groups = fusion.walk(fusion.xref_edges(bulletins), bulletins, seeds, 2)
+    found = extract.extract(bulletins)
+    got, points = events.fuse(found, bulletins, groups, {"sdssr": 1, "sdssg": 2})
+    by = {r.seed: r for r in got.collect()}
+    assert (by[1].obj_id, by[1].ra, by[1].dec, by[1].redshift, by[1].status) == ("GRB240101A", 10.123, -3.456, 0.5, "posted")
+    assert by[3].redshift == 1.234 and by[3].n_points == 2 and by[3].withdrawn == []
+    assert sorted((r.seed, r.circular_id, r.band, r.obj_id) for r in points.collect()) == [(1, 2, "sdssr", "GRB240101A"), (3, 2, "sdssr", "GRB240101A"), (3, 3, "sdssg", "GRB240101A")]
+    none, left = events.fuse(found, bulletins, groups, {"sdssr": 1})
+    reasons = {r.seed: r.comments for r in none.collect()}
+    assert any("1 photometry row(s) could not be posted (1x instrument)" in c for c in reasons[3]) and left.count() == 2
+    gone = readers.to_circulars(spark.createDataFrame([*FLURRY, record(4, "Retraction of GRB 240101A", "See GCN 3.")], schemas.RECORD))
+    groups = fusion.walk(fusion.xref_edges(gone), gone, gone.filter("circular_id = 4"), 3)
+    after, points = events.fuse(extract.extract(gone), gone, groups, {"sdssr": 1, "sdssg": 2})
+    row = after.first()
+    assert points.isEmpty() and row.withdrawn == [4] and row.comments[-1].startswith("A circular withdraws this counterpart (GCN 4)") and len(row.comments) == len(set(row.comments))
+
+
+def test_consume(spark, tmp_path):
+    """A bulletin at a time: what comes again adds nothing, a near point is the same one, a retraction posts nothing."""
+    corpus = readers.to_circulars(spark.createDataFrame(FLURRY[:2], schemas.RECORD))
+    more = [FLURRY[2], FLURRY[2] | {"body": FLURRY[2]["body"]}, record(5, "GRB 240101A", "Observed on 2024-01-02 00:05:00. r = 18.02 +/- 0.10. See GCN 2."), record(6, "GRB 240101A is not a GRB", "See GCN 5.")]
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/9.json").write_text(json.dumps({"circularId": 9, "subject": "GRB 240101A", "body": "See GCN 1. Observed on 2024-01-02 00:00:00. g = 18.00 +/- 0.10"}))
+    posted, status = [], {}
+    prime = lambda objs: objs.select("obj_id", F.lit("sdssg").alias("filter"), F.lit(60311.0).alias("mjd"))
+
+    def post(done, points, epoch):
+        posted.extend((epoch, r.circular_id, r.band) for r in points.collect())
+        status.update({(epoch, r.seed): (r.status, r.posted, r.repeated) for r in done.collect()})
+
+    state = str(tmp_path / "state")
+    for epoch, x in enumerate(more):
+        new = readers.to_circulars(spark.createDataFrame([x], schemas.RECORD))
+        post(*consume.update(new, corpus, state, epoch, {"sdssr": 1, "sdssg": 2}, prime=prime), epoch)
+        corpus = corpus.join(new, "circular_id", "left_anti").unionByName(new)
+    assert posted == [(0, 2, "sdssr")]  # the object's g point is known downstream
+    assert status == {(0, 3): ("posted", 1, 1), (1, 3): ("posted", 0, 2), (2, 5): ("posted", 0, 2), (3, 6): ("nothing-postable", 0, 0)}
+    (tmp_path / "in/3.json").write_text(json.dumps(FLURRY[2]))
     stream = readers.to_circulars(readers.replay(spark, str(tmp_path / "in")))
-    posted = []
-    corpus = bulletins.select("circular_id", "subject", "body", "event_id", "trigger_time")
-    consume.consume(stream, corpus, lambda df, n: posted.extend(df.select("circular_id", "band").collect()), str(tmp_path / "cp"), {"sdssg": 1}).awaitTermination(120)
-    assert [(r.circular_id, r.band) for r in posted] == [(9, "sdssg")]
+    seen = []
+    start = readers.to_circulars(spark.createDataFrame(FLURRY[:2], schemas.RECORD))
+    consume.consume(stream, start, lambda done, points, n: seen.extend((r.circular_id, r.band) for r in points.collect()), str(tmp_path / "cp"), {"sdssr": 1, "sdssg": 2}).awaitTermination(120)
+    assert sorted(seen) == [(2, "sdssr"), (3, "sdssg")]
 
 
 def test_scaffold_and_archive(spark, bulletins, tmp_path):
