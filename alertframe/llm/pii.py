@@ -10,8 +10,8 @@ kind, in every document that holds them, with or without the entity.
 Rare entities have no fixed support to reach: a pair counts if so many of the entity's texts would hold the term by
 chance with a probability of at most `alpha`, taken over all terms of the corpus (Bonferroni: pairs are found because
 they co-occur, so the terms that don't are tests too; one text of an entity is evidence in a small vocabulary only). The probability is
-Chernoff's bound exp(-n KL(k / n || df(t) / N)) for k of n texts; the entity's texts count once here, however many
-copies they have.
+Chernoff's bound exp(-n KL(k / n || df(t) / N)) for k of n texts. Copies are no evidence: of an entity's texts that are
+near copies of each other (sketch) the one with the lowest hash alone is among the n and k.
 
 Counts are pre-aggregated per task: a text's copies first, then its pairs of an entity and a term; df is counted over
 all documents. Disclosing terms meet the documents' distinct terms in an equi-join, which adaptive execution splits
@@ -28,7 +28,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import bind, id_text, write_table
@@ -46,6 +46,10 @@ KINDS = (*PATTERNS, "generalise", "remove")
 TERM = r"\p{L}++"
 #: Stands for a letter of a base span, so that no word reaches into one.
 MASK = "\uffff"
+#: How many ways a hot entity's texts are spread.
+SALTS = 16
+#: Up to so many documents' marks (about 100 bytes each) are sent to all tasks.
+BROADCAST_MARKS = 200_000
 
 
 def running(a: Column, width: int = 16, passes: int = 7) -> Column:
@@ -132,6 +136,14 @@ def entity_names(base: Column) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
+def sketch(terms: Column, h: Column, bands: int = 8, rows: int = 3, least: int = 20) -> Column:
+    """Band keys of a text's terms: near copies share one almost surely, other texts hardly ever. Texts of fewer terms than
+    `least`, which are alike by their form, have one of their own."""
+    low = lambda k: F.array_min(F.transform(terms, lambda w: F.xxhash64(F.lit(k), w)))
+    keys = [F.xxhash64(F.lit(b), *(low(b * rows + r) for r in range(rows))) for b in range(bands)]
+    return F.when(F.size(terms) >= least, F.array(*keys)).otherwise(F.array(h))
+
+
 def spoken(text: Column) -> Column:
     """Distinct words of a text, lower case."""
     return F.array_distinct(F.transform(F.array_distinct(F.split(text, r"\P{L}++")), lambda w: F.lower(w)))
@@ -149,24 +161,51 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return found.select("doc_id", "h", "f.base", "f.terms")
 
 
+def _surprise(k: Column, n: Column, rate: Column) -> Column:
+    """n KL(k / n || rate): minus the log of Chernoff's bound for k of n texts or more."""
+    rest = n - k
+    return k * F.log(k / n / rate) + F.when(rest > 0, rest * F.log(rest / n / (1 - rate))).otherwise(0.0)
+
+
+def _possible(pairs: DataFrame, total: float, need: float) -> DataFrame:
+    """pairs (c, k, df_e, n) that could still be no accident, were the term in no other text: exact, and before any join."""
+    rate = F.col("k") / (F.lit(total) - F.col("df_e") + F.col("n"))
+    return pairs.filter((F.col("df_e") < total) & (_surprise(F.col("k"), F.col("n"), rate) >= need))
+
+
+def _met(rows: DataFrame, summed: Callable[[GroupedData], DataFrame]) -> DataFrame:
+    """rows (entity, h, ...) with what is summed up of their entity; a hot entity's rows are spread by salt."""
+    of = summed(rows.groupBy("entity")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(of, ["entity", "salt"]).drop("salt")
+
+
 def disclosures(docs: DataFrame, scanned: DataFrame, text: str = "text", key: str = "doc_id", generalise_at: float = 0.8, remove_at: float = 0.95, alpha: float = 0.05) -> DataFrame:
-    """entity, term, share and action for all pairs that reach a threshold."""
-    total = scanned.count()
-    texts = scanned.filter(F.size("base") > 0).groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.first(entity_names(F.col("base"))).alias("entities"), F.first("terms").alias("terms"))
-    each = texts.select("docs", "terms", F.explode("entities").alias("entity"))
-    pairs, _ = write_table(each.select("docs", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("docs").alias("c"), F.count(F.lit(1)).alias("k")), "pairs")
-    entities = each.groupBy("entity").agg(F.sum("docs").alias("df_e"), F.count(F.lit(1)).alias("n"))
+    """entity, term, share and action for all pairs that reach a threshold.
+
+    An entity of n texts can't have a term that is no accident unless n log N reaches log(tests / alpha): such entities
+    are left out first.
+    """
     df = id_text(docs, text, key).select(F.explode(spoken(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     df, _ = write_table(df, "terms")
-    tests = float(max(1, df.count()))
-    ratio = F.log(F.col("c") * F.lit(float(total)) / (F.col("df_t") * F.col("df_e"))) / F.log(F.lit(float(total)) / F.col("df_e"))
-    scored = pairs.join(df, "term").join(entities, "entity").withColumn("share", F.when(F.col("df_e") < total, ratio))
-    seen, among = F.col("df_t") - F.col("c") + F.col("k"), F.lit(float(total)) - F.col("df_e") + F.col("n")  # the entity's texts once each
-    held, rate, rest = F.col("k") / F.col("n"), seen / among, F.col("n") - F.col("k")
-    surprise = F.col("k") * F.log(held / rate) + F.when(rest > 0, rest * F.log((1 - held) / (1 - rate))).otherwise(0.0)
-    sure = (held > rate) & (surprise >= F.lit(math.log(tests / alpha)))
+    total, need = float(scanned.count()), math.log(max(1, df.count()) / alpha)
+    texts = scanned.filter(F.size("base") > 0).groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.first("base").alias("base"), F.first("terms").alias("terms"))
+    texts, _ = write_table(texts.select("h", "docs", entity_names(F.col("base")).alias("entities"), "terms", sketch(F.col("terms"), F.col("h")).alias("bands")), "private-texts")
+    enough = lambda n: F.col(n) * math.log(max(2.0, total)) >= need
+    each = _met(texts.select("h", F.explode("entities").alias("entity"), "docs", "bands"), lambda e: e.agg(F.count(F.lit(1)).alias("texts")).filter(enough("texts")))
+    banded = each.select("h", "entity", "docs", F.explode("bands").alias("band"))
+    lowest = banded.groupBy("entity", "band").agg(F.min("h").alias("low"))
+    families = banded.join(lowest, ["entity", "band"]).groupBy("h", "entity").agg(F.first("docs").alias("docs"), F.min("low").alias("low"))
+    spoken_for, _ = write_table(families.select("h", "entity", "docs", (F.col("low") == F.col("h")).cast("int").alias("own")), "entity-texts")
+    known = _met(spoken_for, lambda e: e.agg(F.sum("docs").alias("df_e"), F.sum("own").alias("n")).filter(enough("n")))
+    listed = known.groupBy("h").agg(F.collect_list(F.struct("entity", "df_e", "n", "own")).alias("e"))
+    both = texts.select("h", "docs", "terms").join(listed, "h").select("docs", "terms", F.explode("e").alias("e")).select("docs", "e.*", F.explode("terms").alias("term"))
+    pairs = both.groupBy("entity", "term").agg(F.sum("docs").alias("c"), F.sum("own").alias("k"), F.first("df_e").alias("df_e"), F.first("n").alias("n"))
+    scored = _possible(pairs.filter("k > 0"), total, need).join(df, "term")
+    share = F.log(F.col("c") * F.lit(total) / (F.col("df_t") * F.col("df_e"))) / F.log(F.lit(total) / F.col("df_e"))
+    rate = (F.col("df_t") - F.col("c") + F.col("k")) / (F.lit(total) - F.col("df_e") + F.col("n"))  # the entity's texts once each
+    sure = (F.col("k") / F.col("n") > rate) & (_surprise(F.col("k"), F.col("n"), rate) >= need)
     action = F.when(F.col("share") >= remove_at, "remove").when(F.col("share") >= generalise_at, "generalise")
-    return scored.withColumn("action", F.when(sure, action)).filter("action is not null").select("entity", "term", "share", "action")
+    return scored.withColumn("share", share).withColumn("action", F.when(sure, action)).filter("action is not null").select("entity", "term", "share", "action")
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", **thresholds: float) -> DataFrame:
@@ -175,23 +214,25 @@ def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id",
     told = disclosures(docs, scanned, text, key, **thresholds).groupBy("term").agg(F.max("action").alias("kind"))
     told, _ = write_table(told, "told")
     t, own = F.col("text"), id_text(docs, text, key).withColumn("h", F.xxhash64("text"))
-    each = own.select("doc_id", "h", F.explode(spoken(t)).alias("term")).filter(_may_be_in(told))
+    each = own.select("doc_id", "h", F.explode(spoken(t)).alias("term")).filter(_may_be_in(told, "term"))
     marks = each.join(told, "term").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_set(F.struct("term", "kind")).alias("told"))
     marks, _ = write_table(marks, "marks")
-    hit = own.join(marks, own["doc_id"].eqNullSafe(marks["d"]) & (own["h"] == marks["dh"])).select("d", "dh", "text", F.map_from_entries("told").alias("told"))
+    few = marks.count() <= BROADCAST_MARKS  # else the marked texts are shuffled
+    some = own.filter(_may_be_in(marks.select(F.col("d").alias("doc_id"), F.col("dh").alias("h")), "doc_id", "h"))  # other texts stay where they are
+    hit = some.join(F.broadcast(marks) if few else marks, some["doc_id"].eqNullSafe(marks["d"]) & (some["h"] == marks["dh"])).select("d", "dh", "text", F.map_from_entries("told").alias("told"))
     placed = hit.select("d", "dh", marked(t, F.col("told")).alias("added")).groupBy("d", "dh").agg(F.first("added").alias("added"))
     one = scanned.drop("terms")
     return one.join(placed, one["doc_id"].eqNullSafe(placed["d"]) & (one["h"] == placed["dh"]), "left").select("doc_id", "h", "base", F.coalesce("added", F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>")).alias("added"))
 
 
-def _may_be_in(told: DataFrame) -> Column:
-    """False for most terms that told has not, true for all that it has: by one bit a term, so that few rows are shuffled."""
-    size = min(1 << 26, 1 << max(10, (8 * told.count()).bit_length()))
-    place = F.pmod(F.xxhash64("term"), F.lit(size))
+def _may_be_in(few: DataFrame, *columns: str) -> Column:
+    """False for most rows whose columns few has not, true for all that it has: by one bit a row of few (8 MB at most)."""
+    size = min(1 << 26, 1 << max(10, (8 * few.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*columns), F.lit(size))
     slot, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    some = told.groupBy(slot.alias("id")).agg(F.bit_or(one).alias("bits"))
-    every = told.sparkSession.range(size // 64).join(some, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    some = few.groupBy(slot.alias("id")).agg(F.bit_or(one).alias("bits"))
+    every = few.sparkSession.range(size // 64).join(some, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     bits = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x.bits).alias("bits"))
     return F.get(bits.scalar(), slot.cast("int")).bitwiseAND(one) != 0
 
