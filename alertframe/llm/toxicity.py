@@ -122,6 +122,19 @@ def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tup
     return f * b / (f * b + (1 - f) * (1 - b)), pair
 
 
+def in_blocks(e: np.ndarray, first: np.ndarray, trans: np.ndarray, size: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """forward_backward() over blocks of whole chains, of about `size` tokens each, so that memory stays bounded."""
+    if not len(e):
+        return np.empty(0), np.zeros((2, 2))
+    starts = np.flatnonzero(first)
+    cuts = np.unique(starts[np.minimum(np.searchsorted(starts, np.arange(0, len(e), size)), len(starts) - 1)])
+    p, pair = np.empty(len(e)), np.zeros((2, 2))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(e)], strict=True):
+        p[a:b], own = forward_backward(e[a:b], first[a:b], trans)
+        pair += own
+    return p, pair
+
+
 def fit_chain(c: Chains, labels: np.ndarray, steps: int = 40, rate: float = 0.5, l2: float = 1e-4) -> Model:
     """Gradient ascent with per-weight rates on the log-likelihood of the token labels."""
     m = Model(np.zeros((2, BUCKETS)), float(np.log((labels.sum() + 1) / (len(labels) + 1))), np.zeros((2, 2)), np.zeros(5))
@@ -130,7 +143,7 @@ def fit_chain(c: Chains, labels: np.ndarray, steps: int = 40, rate: float = 0.5,
     feats, total = c.feats, max(1.0, labels.sum())
     size_w, size_t, size_b = np.full((2, BUCKETS), 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(steps):
-        p, pair = forward_backward(m.emissions(c), c.first, m.trans)
+        p, pair = in_blocks(m.emissions(c), c.first, m.trans)
         gap = (y - p) / total
         g = np.stack([np.bincount(feats[k], gap, BUCKETS) for k in (0, 1)]) - l2 * m.weights
         size_w += g * g
@@ -154,7 +167,7 @@ def document_features(p: np.ndarray, c: Chains, n_docs: int) -> np.ndarray:
 
 
 def marginals(m: Model, c: Chains) -> np.ndarray:
-    return forward_backward(m.emissions(c), c.first, m.trans)[0]
+    return in_blocks(m.emissions(c), c.first, m.trans)[0]
 
 
 def fit_head(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50, l2: float = 1e-3) -> np.ndarray:
