@@ -115,20 +115,37 @@ def merge_lists(found: DataFrame, group: str, order: str) -> DataFrame:
     return flat.groupBy(group).agg(F.array_distinct(ordered("time_offsets")).alias("time_offsets"), F.array_distinct(ordered_notes).alias("notes"), spans.alias("_spans")).withColumn("provenance", first).drop("_spans")
 
 
-def label_view(found: DataFrame, scalars: dict[str, str]) -> DataFrame:
-    """circular_id, path, value, snippet, start, end: scalar fields with their spans, or the span of the field above."""
-    pairs = F.array(*(F.struct(F.lit(path).alias("path"), F.col(col).cast("string").alias("value")) for path, col in scalars.items()))
+def label_view(found: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """circular_id, path, value, snippet, start, end: fields (lists joined by commas) with their spans, or the span of the
+    field above."""
+    kinds = {path: found.select(F.col(col)).schema[0].dataType.typeName() for path, col in fields.items()}
+    text = lambda path, col: F.when(F.size(col) > 0, F.array_join(F.col(col).cast("array<string>"), ", ")) if kinds[path] == "array" else F.col(col).cast("string")
+    pairs = F.array(*(F.struct(F.lit(path).alias("path"), text(path, col).alias("value")) for path, col in fields.items()))
     rows = found.select("circular_id", "provenance", F.explode(pairs).alias("x")).filter("x.value is not null")
     parent = F.regexp_replace("x.path", r"\.[^.]*$", "")
     span = F.coalesce(F.try_element_at("provenance", F.col("x.path")), F.try_element_at("provenance", parent))
     return rows.select("circular_id", "x.path", "x.value", span.alias("s")).select("circular_id", "path", "value", "s.snippet", "s.start", "s.end")
 
 
-def backfill_span(body: Column, value: Column) -> Column:
-    """The place of a value of three characters or more that the text has exactly once."""
+def backfill_span(body: Column, value: Column, longest: int = 200) -> Column:
+    """The place of a value of three characters or more that the text has exactly once; its snippet is cut at `longest`."""
     times = (F.length(body) - F.length(F.replace(body, value, F.lit("")))) / F.length(value)
     at = F.instr(body, value) - 1
-    return F.when((F.length(value) >= 3) & (times == 1), F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("snippet")))
+    size = F.least(F.length(value), F.lit(longest))
+    return F.when((F.length(value) >= 3) & (times == 1), F.struct(at.alias("start"), (at + size).alias("end"), F.substring(value, F.lit(1), size).alias("snippet")))
+
+
+def anchor_rows(body: Column, values: Column, longest: int = 200) -> Column:
+    """For each of a list's values (as text) the line that alone has it: start, end and snippet, cut at `longest`; else null."""
+
+    def one(v: Column) -> Column:
+        hits = F.filter(F.split(body, "\n", -1), lambda x: F.contains(x, v))
+        line = F.get(hits, F.lit(0))
+        size = F.least(F.length(line), F.lit(longest))
+        at = F.instr(body, line) - 1
+        return F.when((F.size(hits) == 1) & (F.length(v) >= 3), F.struct(at.alias("start"), (at + size).alias("end"), F.substring(line, F.lit(1), size).alias("snippet")))
+
+    return F.transform(values, one)
 
 
 def scaffold(circulars: DataFrame) -> DataFrame:

@@ -26,12 +26,34 @@ def put(store: DataFrame | None, new: DataFrame) -> DataFrame:
     return latest(store.unionByName(new, allowMissingColumns=True) if store is not None else new, KEY, "created_at")
 
 
-def save(spark: SparkSession, store: DataFrame, path: str) -> None:
-    store.write.mode("overwrite").partitionBy("extractor_id").parquet(path)
-
-
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions in a folder, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return []
+    found = [s.getPath() for s in files.listStatus(hadoop) if s.getPath().getName().startswith("version=")]
+    done = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def save(spark: SparkSession, store: DataFrame, path: str) -> int:
+    """Writes the store as a new version beside the older ones, which the plan may be reading; its number."""
+    number = max(versions(spark, path), default=0) + 1
+    store.write.mode("overwrite").partitionBy("extractor_id").parquet(f"{path}/version={number}")
+    return number
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest complete version, or a given one."""
+    known = versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no store in {path}")
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/version={version or known[-1]}")
+
+
+def count(store: DataFrame) -> int:
+    return store.count()
 
 
 def get(store: DataFrame, circular_id: int, extractor_id: str, model_id: str = "", prompt_version: str = "") -> DataFrame:

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, search, store
+from . import events, extract, search, store
 from .upsert import event_bridge
 
 
@@ -54,7 +54,7 @@ def _keep(ctx: Context, found: DataFrame) -> DataFrame:
 
 def _store(ctx: Context) -> DataFrame:
     if ctx.store is None:
-        ctx.store = store.rows(extract.extract(ctx.circulars), 0)
+        ctx.store = events.settled(store.rows(extract.extract(ctx.circulars), 0))  # extracted once for all calls
     return ctx.store
 
 

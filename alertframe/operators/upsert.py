@@ -13,17 +13,23 @@ def record_hash(*cols: str) -> Column:
     return F.sha1(F.to_json(F.struct(*sorted(cols))))
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str, *content: str) -> tuple[DataFrame, DataFrame]:
-    """The new version of current (with record_hash) and the rows that changed it; equal content is no change."""
+def upsert(current: DataFrame, incoming: DataFrame, key: str, *content: str, newest: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The new version of current (with record_hash) and the rows that changed it; equal content is no change.
+
+    Of incoming rows of one key the last by `newest` counts, of equal ones that with the greatest hash.
+    """
     fresh = incoming.withColumn("record_hash", record_hash(*content))
+    order = F.struct(*([newest] if newest else []), "record_hash")
+    fresh = fresh.groupBy(key).agg(F.max_by(F.struct(*fresh.columns), order).alias("r")).select("r.*")
     changed = fresh.join(current.select(key, "record_hash"), [key, "record_hash"], "left_anti")
     kept = current.join(changed.select(key), key, "left_anti")
     return kept.unionByName(changed, allowMissingColumns=True), changed
 
 
 def latest(df: DataFrame, keys: list[str], newest: str) -> DataFrame:
-    """One row per key: the newest."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(newest))
+    """One row per key: the newest, of equally new ones that with the greatest hash of its JSON."""
+    tie = F.xxhash64(F.to_json(F.struct(*df.columns)))
+    w = Window.partitionBy(*keys).orderBy(F.desc(newest), tie.desc())
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

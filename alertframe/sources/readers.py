@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tarfile
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
@@ -45,6 +46,49 @@ def to_circulars(records: DataFrame) -> DataFrame:
     )
 
 
+def archive(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of one-object files as records in order of their file names (column file)."""
+    rows = spark.read.schema(schemas.RECORD).option("recursiveFileLookup", True).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    return rows.withColumn("file", F.col("_metadata.file_name")).orderBy("file")
+
+
+def to_parquet(records: DataFrame, path: str, per_file: int = 1_000_000) -> None:
+    """Records once and for all as Parquet, in ranges of their id, so that later reads open few files and skip most."""
+    records.repartitionByRange("circularId").sortWithinPartitions("circularId").write.option("maxRecordsPerFile", per_file).mode("overwrite").parquet(path)
+
+
+def found_and_missing(circulars: DataFrame, wanted: DataFrame) -> tuple[DataFrame, int]:
+    """fetch(), and how many of the wanted ids there are none of."""
+    missing = wanted.join(circulars.select("circular_id"), "circular_id", "left_anti").count()
+    return fetch(circulars, wanted), missing
+
+
+def first_ids(rows: DataFrame, most: int, label: str | None = None) -> DataFrame:
+    """The first ids in order, of the rows with that topic label if one is given: a cap that is the feature asked for."""
+    own = rows.filter(F.col("label") == label) if label else rows
+    return own.select("circular_id").distinct().orderBy("circular_id").limit(most)
+
+
+def with_bodies(gold: DataFrame, circulars: DataFrame) -> DataFrame:
+    """Gold rows with the subject and body of their bulletins; gold without a bulletin goes."""
+    return gold.join(circulars.select("circular_id", "subject", "body"), "circular_id")
+
+
+def only_loaded(gold: DataFrame, circulars: DataFrame) -> DataFrame:
+    return gold.join(circulars.select("circular_id"), "circular_id", "left_semi")
+
+
+def gold_pairs(gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """read_gold() as two tables of records, what is stated and what was predicted: event, redshift, telescope, measure."""
+
+    def side(prefix: str) -> DataFrame:
+        has = lambda c: F.col(prefix + c) if prefix + c in gold.columns else F.lit(None).cast("string")
+        z = F.regexp_extract(has("redshift"), r"(\d+(?:\.\d+)?)", 1)
+        return gold.select("circular_id", S.grb_name(has("event")).alias("event"), F.nullif(z, F.lit("")).cast("double").alias("redshift"), has("telescope").alias("telescope"), F.lower(has("measure")).alias("measure"))
+
+    return side(""), side("pred_")
+
+
 def fetch(circulars: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted ids' rows (column circular_id) in the order of column ord; ids that are missing are left out."""
     return wanted.join(circulars, "circular_id").orderBy("ord").drop("ord")
@@ -79,44 +123,88 @@ def replay(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schemas.RECORD).option("maxFilesPerTrigger", per_trigger).option("multiLine", True).json(path)
 
 
+def messages(raw: DataFrame) -> DataFrame:
+    """Records of messages (column value), and bad: the text of those that are no record, which nothing drops in silence."""
+    text = F.col("value").cast("string")
+    parsed = raw.select(F.from_json(text, schemas.RECORD + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"), text.alias("text"))
+    whole = F.col("r._bad").isNull() & F.col("r.circularId").isNotNull()
+    return parsed.select("r.*", F.when(~F.coalesce(whole, F.lit(False)), F.col("text")).alias("bad")).drop("_bad")
+
+
 def kafka(spark: SparkSession, servers: str, topic: str = TOPIC, **options: str) -> DataFrame:
-    """The live topic's records; needs the Kafka connector on the class path."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schemas.RECORD).alias("r")).filter("r is not null").select("r.*")
+    """The live topic's records (see messages()); needs the Kafka connector on the class path."""
+    return messages(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load())
+
+
+def fetch_one(base: str, number: int, timeout: float = 30) -> dict | None:
+    """One bulletin by its id over HTTP; None if there is none."""
+    try:
+        with urllib.request.urlopen(f"{base}/{number}.json", timeout=timeout) as r:
+            return json.load(r)
+    except urllib.error.HTTPError as e:
+        if e.code == 404:
+            return None
+        raise
+
+
+def _as_row(x: dict) -> tuple:
+    return tuple(x.get(f.split()[0]) for f in schemas.RECORD.split(", "))  # without a session
 
 
 class _RangePoller(SimpleDataSourceStreamReader):
-    """Upward by id, up to the first that does not exist yet."""
+    """Upward by id, up to the first that does not exist yet; ids in `known` are skipped, and requests are `delay` apart."""
 
-    def __init__(self, base: str, start: int, most: int) -> None:
-        self.base, self.start, self.most = base, start, most
+    def __init__(self, base: str, start: int, most: int, delay: float = 0.0, known: str = "") -> None:
+        self.base, self.start, self.most, self.delay = base, start, most, delay
+        self.known = {int(p.stem) for p in Path(known).glob("*.json") if p.stem.isdigit()} if known else set()
 
     def initialOffset(self) -> dict:
         return {"id": self.start}
 
     def _get(self, number: int) -> tuple | None:
-        try:
-            with urllib.request.urlopen(f"{self.base}/{number}.json", timeout=30) as r:
-                x = json.load(r)
-        except urllib.error.HTTPError as e:
-            if e.code == 404:
-                return None
-            raise
-        return tuple(x.get(f.name) for f in schemas.struct(schemas.RECORD).fields)
+        time.sleep(self.delay)
+        x = fetch_one(self.base, number)
+        return None if x is None else _as_row(x)
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, at = [], start["id"]
-        while len(rows) < self.most and (row := self._get(at)) is not None:
-            rows.append(row)
+        while len(rows) < self.most:
+            if at not in self.known:
+                if (row := self._get(at)) is None:
+                    break
+                rows.append(row)
             at += 1
         return iter(rows), {"id": at}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for r in map(self._get, range(start["id"], end["id"])) if r is not None])
+        return iter([r for r in map(self._get, (k for k in range(start["id"], end["id"]) if k not in self.known)) if r is not None])
+
+
+class _FolderReplay(SimpleDataSourceStreamReader):
+    """Files of one record each in order of the number in their name (other names: 0), `most` a batch."""
+
+    def __init__(self, folder: str, most: int) -> None:
+        number = lambda p: int(p.stem) if p.stem.isdigit() else 0
+        self.files = sorted(Path(folder).glob("*.json"), key=lambda p: (number(p), p.name))
+        self.most = most
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def _rows(self, a: int, b: int) -> list[tuple]:
+        read = (json.loads(p.read_text(encoding="utf-8")) for p in self.files[a:b])
+        return [_as_row(x) for x in read if x.get("circularId") is not None]
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        end = min(start["at"] + self.most, len(self.files))
+        return iter(self._rows(start["at"], end)), {"at": end}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._rows(start["at"], end["at"]))
 
 
 class BulletinArchive(DataSource):
-    """Streaming source "bulletins": options url, start, most."""
+    """Streaming source "bulletins": options url, start, most, delay and known (a folder of files that are there already)."""
 
     @classmethod
     def name(cls) -> str:
@@ -126,7 +214,22 @@ class BulletinArchive(DataSource):
         return schemas.RECORD
 
     def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:
-        return _RangePoller(self.options["url"], int(self.options.get("start", 1)), int(self.options.get("most", 100)))
+        o = self.options
+        return _RangePoller(o["url"], int(o.get("start", 1)), int(o.get("most", 100)), float(o.get("delay", 0)), o.get("known", ""))
+
+
+class BulletinFolder(DataSource):
+    """Streaming source "bulletin-folder": options folder and most."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bulletin-folder"
+
+    def schema(self) -> str:
+        return schemas.RECORD
+
+    def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:
+        return _FolderReplay(self.options["folder"], int(self.options.get("most", 1)))
 
 
 def untar(spark: SparkSession, tarball: str, out: str, force: bool = False) -> str:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +20,37 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(record_json(*df.columns).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_extractions(found: DataFrame, path: str) -> None:
-    """One JSON text per extraction, in files partitioned by a zero-padded id."""
-    name = F.lpad(F.col("circular_id").cast("string"), 6, "0").alias("name")
-    found.select(name, record_json(*found.columns).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+def write_files(rows: DataFrame, path: str) -> DataFrame:
+    """A file for each row (name, value) in a folder that all executors share, written by the tasks; the manifest (name,
+    bytes). A task that runs again writes the same files."""
+    base = path if "://" in path else f"file://{path}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(base)
+        store.create_dir(folder, recursive=True)
+        for b in batches:
+            names, sizes = b.column(0).to_pylist(), []
+            for name, value in zip(names, b.column(1).to_pylist(), strict=True):
+                raw = value.encode()
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(raw)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return rows.select("name", "value").mapInArrow(run, "name string, bytes long")
+
+
+def write_extractions(found: DataFrame, path: str) -> int:
+    """One file per extraction, named by a zero-padded id; how many."""
+    name = F.concat(F.lpad(F.col("circular_id").cast("string"), 6, "0"), F.lit(".extraction.json"))
+    return write_files(found.select(name.alias("name"), record_json(*found.columns).alias("value")), path).count()
+
+
+def write_scaffold(scaffold: DataFrame, path: str) -> int:
+    """labels.scaffold() as a source and a label file per bulletin; how many files."""
+    base = F.col("circular_id").cast("string")
+    both = F.array(F.struct(F.concat(base, F.lit(".source.md")).alias("name"), F.col("source").alias("value")), F.struct(F.concat(base, F.lit(".label.json")).alias("name"), F.col("label").alias("value")))
+    return write_files(scaffold.select(F.explode(both).alias("f")).select("f.*"), path).count()
 
 
 def post_plan(sources: DataFrame, points: DataFrame, redshifts: DataFrame, comments: DataFrame) -> DataFrame:
@@ -35,24 +65,53 @@ def post_plan(sources: DataFrame, points: DataFrame, redshifts: DataFrame, comme
     return ordered.withColumn("seq", F.row_number().over(Window.partitionBy("obj_id").orderBy("kind", "payload")) - 1).drop("kind")
 
 
-def execute_plan(plan: DataFrame, send: Callable[[str, str, str], dict] | None = None, live: bool = False, token: str | None = None) -> list[dict]:
-    """Sends the plan's steps in order if live and a token is given, else only lists them (a dry run)."""
+def render_plan(plan: DataFrame, most: int = 1000) -> str:
+    """The plan's first steps as text, a line for the request and one for its payload."""
+    steps = plan.orderBy("obj_id", "seq").limit(most).collect()
+    return "\n".join(f"{r.method} {r.path}\n  {r.payload}" for r in steps)
+
+
+def execute_plan(plan: DataFrame, send: Callable[[str, str, str], dict] | None = None, live: bool = False, token: str | None = None, continue_on_error: bool = True) -> list[dict]:
+    """Sends the plan's steps in order if live and a token is given, else only lists them (a dry run).
+
+    An answer with status error is a failure; without continue_on_error the first one ends the run.
+    """
     out = []
     for r in plan.orderBy("obj_id", "seq").toLocalIterator():
+        step = {"path": r.path, "ok": None}
         if live and token and send is not None:
             try:
                 answer = send(r.method, r.path, r.payload)
-                out.append({"path": r.path, "ok": answer.get("status") != "error"})
+                step["ok"] = answer.get("status") != "error"
             except OSError as e:
-                out.append({"path": r.path, "ok": False, "error": str(e)})
-        else:
-            out.append({"path": r.path, "ok": None})
+                step |= {"ok": False, "error": str(e)}
+        out.append(step)
+        if step["ok"] is False and not continue_on_error:
+            break
     return out
 
 
-def report(metrics: DataFrame) -> str:
-    """A Markdown table of a metrics DataFrame (a row per field)."""
+def clipped(x: object, size: int = 80) -> str:
+    """A value as JSON, cut to size with dots."""
+    text = json.dumps(x, ensure_ascii=False, default=str)
+    return text if len(text) <= size else text[: size - 3] + "..."
+
+
+def table(rows: DataFrame) -> str:
+    """A Markdown table of a small DataFrame."""
     cell = lambda x: "-" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
-    rows = [f"| {' | '.join(metrics.columns)} |", "|" + "---|" * len(metrics.columns)]
-    rows += [f"| {' | '.join(cell(x) for x in r)} |" for r in metrics.collect()]
-    return "\n".join(rows) + "\n"
+    out = [f"| {' | '.join(rows.columns)} |", "|" + "---|" * len(rows.columns)]
+    return "\n".join(out + [f"| {' | '.join(cell(x) for x in r)} |" for r in rows.collect()]) + "\n"
+
+
+def report(metrics: DataFrame, failures: DataFrame | None = None, telemetry: DataFrame | None = None, title: str = "Evaluation") -> str:
+    """Markdown: a row per field, then what the run cost, then each field's first failures with both values."""
+    out = [f"# {title}", "## Fields", table(metrics)]
+    if telemetry is not None:
+        out += ["## Run", table(telemetry)]
+    if failures is not None:
+        out.append("## Failures")
+        for r in failures.collect():  # a few per field
+            x = r.asDict(recursive=True)
+            out.append(f"- {x.get('field')} of {x.get('circular_id')}: {x.get('outcome')}, gold {clipped(x.get('gold'))}, predicted {clipped(x.get('pred'))}")
+    return "\n\n".join(out) + "\n"

@@ -9,9 +9,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from alertframe import __main__ as cli
 from alertframe import schemas
 from alertframe.functions import scalars as S
-from alertframe.operators import backends, classify, evaluate, events, extract, fusion, labels, sampling, search, sky, store, tools, upsert
+from alertframe.operators import backends, classify, evaluate, events, extract, fusion, labels, models, sampling, search, sky, store, tools, upsert
 from alertframe.sources import readers, writers
 from alertframe.streaming import consume
 from alertframe.text import classes
@@ -289,3 +290,145 @@ def test_scaffold_and_archive(spark, bulletins, tmp_path):
         t.add(tmp_path / "1.json", "archive.json/1.json")
     out = readers.untar(spark, str(tmp_path / "a.tar.gz"), str(tmp_path / "out"))
     assert readers.untar(spark, "missing", out) == out and readers.read_records(spark, out).count() == 1
+
+
+class _Fake:
+    """A sender that remembers what it was sent."""
+
+    def __init__(self, answer: dict):
+        self.answer, self.sent = answer, []
+
+    def __call__(self, url: str, payload: dict, headers: dict) -> dict:
+        self.sent.append(payload)
+        return self.answer
+
+
+def test_model_clients(spark):
+    told = {"redshift": {"redshift": 0.5}}
+    tool = _Fake({"content": [{"type": "tool_use", "input": told}], "usage": {"input_tokens": 7, "output_tokens": 3}})
+    assert models.ToolCaller("u", "m", send=tool)("text") == (json.dumps(told), 7, 3)
+    assert tool.sent[0]["tool_choice"]["name"] == "record" and set(tool.sent[0]["tools"][0]["input_schema"]["properties"]) == set(models.ASKED)
+    rows = models.answer_schema()["properties"]["photometry"]
+    assert len(rows["items"]["properties"]) == 13 and rows["maxItems"] == 15 and rows["items"]["properties"]["filter"]["maxLength"] == 128
+    mode = _Fake({"response": "{}", "prompt_eval_count": 1, "eval_count": 2})
+    assert models.JsonMode("u", "m", send=mode)("x") == ("{}", 1, 2) and mode.sent[0]["format"] == "json"
+    held = _Fake({"content": "{}", "tokens_evaluated": 1, "tokens_predicted": 2})
+    assert models.Constrained("u", send=held)("x") == ("{}", 1, 2) and held.sent[0]["json_schema"]["type"] == "object"
+    assert models.prompt("a body").endswith("a body\nRecord:\n") and models.prompt("").count("Record:") == 1 + len(models.SHOTS)
+
+
+def test_model_records(spark, bulletins):
+    """Answers become records that are dated by the trigger after the cache; no answer is an empty record with a note."""
+    told = {"event": {"event_name": "GRB 240101A"}, "photometry": [{"filter": "r", "mag": 18.5, "obs_mjd": None}, "junk"], "time_offsets": [{"value": 2, "unit": "h", "reference": "trigger"}], "classification": "tde"}
+
+    def client(text: str) -> tuple[str, int, int]:
+        if "GCN 2" in text:
+            raise OSError("down")
+        return json.dumps(told), 5, 6
+
+    answers, _ = backends.call(bulletins, spark.createDataFrame([], backends.CACHE), client, "m", "v", "1")
+    got = {r.circular_id: r for r in models.records(bulletins, answers).collect()}
+    assert len(got) == 4 and got[3].event is None and got[3].extraction_meta.notes[0] == "error: no answer"
+    assert got[1].event.event_name == ["GRB 240101A"] and got[1].classification.taxonomy_path[-1] == "Tidal Disruption Event" and got[1].extraction_meta.tokens_in == 5
+    assert got[1].photometry[0].obs_time == "2024-01-01T02:00:00Z" and len(got[1].photometry) == 1
+    assert extract.failures(models.records(bulletins, answers)).first()[:] == (4, 1)
+
+
+def test_files_and_reports(spark, bulletins, tmp_path):
+    out = str(tmp_path / "x")
+    assert writers.write_extractions(extract.extract(bulletins), out) == 4
+    assert json.loads((tmp_path / "x/000001.extraction.json").read_text())["redshift"]["redshift"] == 1.5
+    assert writers.write_scaffold(labels.scaffold(bulletins), out) == 8 and (tmp_path / "x/3.source.md").exists()
+    plan = spark.createDataFrame([("a", 0, "POST", "/p", "{}"), ("a", 1, "POST", "/q", "{}")], "obj_id string, seq int, method string, path string, payload string")
+    assert writers.render_plan(plan) == "POST /p\n  {}\nPOST /q\n  {}"
+    bad = lambda *a: {"status": "error"}
+    assert len(writers.execute_plan(plan, bad, live=True, token="t", continue_on_error=False)) == 1 and len(writers.execute_plan(plan, bad, live=True, token="t")) == 2
+    assert writers.clipped("x" * 100) == '"' + "x" * 76 + "..." and writers.clipped(None) == "null"
+    told = spark.createDataFrame([(1, "FN", "redshift", "1.5", None)], "circular_id long, outcome string, field string, gold string, pred string")
+    text = writers.report(evaluate.metrics(told, "field"), told, told.groupBy("field").count())
+    assert "## Fields" in text and "## Run" in text and "- redshift of 1: FN" in text
+
+
+def test_versions_of_a_store(spark, bulletins, tmp_path):
+    path = str(tmp_path / "store")
+    rows = store.rows(extract.extract(bulletins), 1)
+    assert store.save(spark, rows, path) == 1
+    assert store.save(spark, store.put(store.load(spark, path), store.rows(extract.extract(bulletins), 2)), path) == 2
+    assert store.count(store.load(spark, path)) == 4 and {r.created_at for r in store.load(spark, path).collect()} == {2} and store.count(store.load(spark, path, 1)) == 4
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    now = spark.createDataFrame([], "k int, v string, record_hash string")
+    assert upsert.upsert(now, twice, "k", "v")[0].count() == 1
+
+
+def test_stored_postings(spark, bulletins, tmp_path):
+    path = str(tmp_path / "p")
+    search.write_postings(bulletins, path)
+    for terms in (["optical counterpart"], ["z", "20.0"], ["of grb"], ["counterpart optical"], ["nowhere"]):
+        want = {r.circular_id for r in search.index(bulletins).filter(search.matches(terms)).collect()}
+        assert {r.circular_id for r in search.stored_hits(spark, path, terms).collect()} == want
+    long = spark.createDataFrame([("a " * 40 + "needle in hay",)], "subject string")
+    got = long.select(search.snippet(["needle"]).alias("s")).first().s
+    assert "[needle] in hay" in got and len(got.split()) == 18
+
+
+def test_sources_in_order(spark, tmp_path):
+    for name in ("10", "9", "note"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"circularId": int(name) if name.isdigit() else None, "subject": name}))
+    spark.dataSource.register(readers.BulletinFolder)
+    stream = spark.readStream.format("bulletin-folder").option("folder", str(tmp_path)).option("most", 2).load()
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda df, n: seen.extend(r.circularId for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [9, 10]
+    assert [r.file for r in readers.archive(spark, str(tmp_path)).filter("circularId is not null").collect()] == ["10.json", "9.json"]
+    raw = spark.createDataFrame([('{"circularId": 5, "subject": "s"}',), ("junk",), ("{}",)], "value string")
+    got = [(r.circularId, r.bad) for r in readers.messages(raw).collect()]
+    assert got == [(5, None), (None, "junk"), (None, "{}")]
+    known = spark.createDataFrame([(1, "x"), (2, "y")], "circular_id long, body string")
+    rows, missing = readers.found_and_missing(known, spark.createDataFrame([(2, 0), (7, 1)], "circular_id long, ord int"))
+    assert [r.circular_id for r in rows.collect()] == [2] and missing == 1
+    readers.to_parquet(readers.read_records(spark, str(tmp_path / "9.json")), str(tmp_path / "pq"))
+    assert spark.read.parquet(str(tmp_path / "pq")).count() == 1
+    gold = spark.createDataFrame([(1, "1.5 or so", "200101A", None, "Spectroscopic", "2.0")], "circular_id long, redshift string, event string, telescope string, measure string, pred_redshift string")
+    stated, told = readers.gold_pairs(gold)
+    assert stated.first()[1:] == ("GRB 200101A", 1.5, None, "spectroscopic") and told.first().redshift == 2.0
+
+
+def test_taxonomy_folder(spark, tmp_path):
+    (tmp_path / "top.yaml").write_text("class: Root\nsubclasses:\n  - ref: a.yaml\n  - ref: gone.yaml\n  - class: B\n    other names: [bee, sn x]\n")
+    (tmp_path / "a.yaml").write_text("class: A\nother names: [SN X]\nsubclasses:\n  - class: A1\n")
+    aliases, paths = readers.taxonomy_tables(spark, str(tmp_path))
+    names = {r.alias_lower: r.canonical for r in aliases.collect()}
+    assert names["sn x"] == "A" and names["bee"] == "B" and names["gone-placeholder"] == "gone-placeholder"
+    assert {r["class"]: r.path for r in paths.collect()}["A1"] == ["Root", "A", "A1"]
+    from alertframe.text import taxonomy
+
+    built = taxonomy.builtin()
+    assert len(built) == 177 and len(taxonomy.paths_of(built)) == 176 and taxonomy.names_of(built)["snibn"] == "Ibn"
+
+
+def test_spans_of_lists(spark):
+    body = "first 18.50 here\nthen 19.50 and 20.50\n19.50 again"
+    df = spark.createDataFrame([(body,)], "b string")
+    got = df.select(labels.anchor_rows(F.col("b"), F.array(*map(F.lit, ("18.50", "19.50", "20.50")))).alias("a")).first().a
+    assert [x and (x.start, x.snippet) for x in got] == [(0, "first 18.50 here"), None, (17, "then 19.50 and 20.50")]
+    rows = spark.createDataFrame([(1, ["a", "b"], {})], "circular_id long, names array<string>, provenance map<string,struct<start:int,end:int,snippet:string>>")
+    assert labels.label_view(rows, {"event.names": "names"}).first().value == "a, b"
+
+
+def test_command_line(tmp_path, capsys, spark, monkeypatch):
+    monkeypatch.setattr(cli, "get_session", lambda *a, **k: spark)
+    source = tmp_path / "r.jsonl"
+    source.write_text("\n".join(json.dumps(x) for x in FLURRY))
+    assert cli.main(["post", str(source), "2", "--instruments", '{"sdssr": 1}']) == 0
+    assert "POST /api/sources" in capsys.readouterr().out
+    assert cli.main(["index", str(source), str(tmp_path / "i")]) == 0 and store.count(store.load(spark, str(tmp_path / "i/store"))) == 3
+    assert cli.main(["label-scaffold", str(source), str(tmp_path / "l")]) == 0 and len(list((tmp_path / "l").iterdir())) == 6
+    assert cli.main(["annotate", str(source), str(tmp_path / "v")]) == 0
+    assert cli.main(["dataset", str(source), str(tmp_path / "d"), "--val-every", "2"]) == 0 and spark.read.text(str(tmp_path / "d/val")).count() == 2
+    found = extract.extract(readers.to_circulars(readers.read_records(spark, str(source))))
+    writers.write_jsonl(found, str(tmp_path / "p"))
+    assert cli.main(["eval", str(tmp_path / "p"), str(tmp_path / "p"), str(tmp_path / "report.md")]) == 0
+    assert "| redshift | 2 | 0 | 0 |" in (tmp_path / "report.md").read_text()
+    assert cli.main(["label-validate", str(source)]) == 0
