@@ -36,7 +36,7 @@ VERBS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "subset-build": (("records", "out"), {"per_stratum": "10", "seed": "0"}),
     "dataset": (("records", "out"), {"val_every": "10"}),
     "classify-train": (("records", "out"), {"exclude": "", "ratio": "3"}),
-    "eval": (("pred", "gold", "out"), {}),
+    "eval": (("pred", "gold", "out"), {"plot": ""}),
     "label-scaffold": (("records", "out"), {}),
     "label-validate": (("records",), {}),
     "annotate": (("records", "out"), {}),
@@ -113,7 +113,10 @@ def main(argv: list[str] | None = None) -> int:
         pred, gold = (readers.read_labels(spark, p, schemas.EXTRACTION) if Path(p).is_dir() and list(Path(p).glob("*.label.json")) else spark.read.schema(schemas.EXTRACTION).json(p) for p in (a.pred, a.gold))
         outcomes = _outcomes(pred, gold).persist()
         runs = pred.select(F.lit("run").alias("run"), F.col("extraction_meta.*"))
-        Path(a.out).write_text(writers.report(evaluate.metrics(outcomes, "field").orderBy("field"), evaluate.first_failures(outcomes, "field", "circular_id"), evaluate.usage(runs, "run")))
+        fields = evaluate.metrics(outcomes, "field").orderBy("field")
+        if a.plot:
+            Path(a.plot).write_text(writers.plot(fields))
+        Path(a.out).write_text(writers.report(fields, evaluate.first_failures(outcomes, "field", "circular_id"), evaluate.usage(runs, "run")))
         return 0
     if a.verb == "consume":
         return _consume(spark, a)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from html import escape
 
 import pyarrow as pa
 from pyarrow import fs
@@ -115,3 +116,26 @@ def report(metrics: DataFrame, failures: DataFrame | None = None, telemetry: Dat
             x = r.asDict(recursive=True)
             out.append(f"- {x.get('field')} of {x.get('circular_id')}: {x.get('outcome')}, gold {clipped(x.get('gold'))}, predicted {clipped(x.get('pred'))}")
     return "\n\n".join(out) + "\n"
+
+
+def plot(metrics: DataFrame, width: int = 420, bar: int = 18) -> str:
+    """An SVG of two panels for a metrics DataFrame (a row per field): precision, recall and F1, and what the counts are."""
+    rows = metrics.collect()  # a row per field
+    panels = (
+        [("precision", "#4c78a8"), ("recall", "#f58518"), ("f1", "#54a24b")],
+        [("tp", "#54a24b"), ("fp", "#e45756"), ("fn", "#b279a2")],
+    )
+    group, most = bar * 3 + 10, max([1, *(r[c] for r in rows for c in ("tp", "fp", "fn"))])
+    height, out = 40 + group * len(rows), []
+    for p, series in enumerate(panels):
+        left = p * (width + 140) + 110
+        out += [f'<text x="{left + 90 * k}" y="16" fill="{colour}">{name}</text>' for k, (name, colour) in enumerate(series)]
+        for i, r in enumerate(rows):
+            top = 30 + i * group
+            out.append(f'<text x="{left - 6}" y="{top + bar}" text-anchor="end">{escape(str(r["field"]))}</text>')
+            for k, (name, colour) in enumerate(series):
+                value = r[name] or 0
+                size = width * value / (most if p else 1)
+                label = f"{value}" if p else f"{value:.2f}"
+                out.append(f'<rect x="{left}" y="{top + k * bar}" width="{size:.1f}" height="{bar - 3}" fill="{colour}"/><text x="{left + size + 4:.1f}" y="{top + k * bar + bar - 6}">{label}</text>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{2 * (width + 150)}" height="{height}" font-family="sans-serif" font-size="12">{"".join(out)}</svg>\n'

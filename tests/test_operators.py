@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tarfile
 from datetime import datetime
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -346,6 +347,8 @@ def test_files_and_reports(spark, bulletins, tmp_path):
     assert writers.clipped("x" * 100) == '"' + "x" * 76 + "..." and writers.clipped(None) == "null"
     told = spark.createDataFrame([(1, "FN", "redshift", "1.5", None)], "circular_id long, outcome string, field string, gold string, pred string")
     text = writers.report(evaluate.metrics(told, "field"), told, told.groupBy("field").count())
+    drawn = ElementTree.fromstring(writers.plot(evaluate.metrics(told, "field")))
+    assert sum(x.tag.endswith("rect") for x in drawn) == 6 and drawn[-1].text == "1"
     assert "## Fields" in text and "## Run" in text and "- redshift of 1: FN" in text
 
 
