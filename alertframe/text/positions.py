@@ -52,13 +52,21 @@ def _owned(text: str, at: int) -> bool:
     return other is None or (own is not None and own.start() > other.start())
 
 
-def _pair_at(text: str, label: re.Match[str]) -> tuple[list[float], list[float], bool, int] | None:
-    """Both coordinates after a right ascension's label: "RA, Dec = x, y" or "RA = x ... Dec = y" (at most 40 signs apart)."""
-    if both := _DEC_LABEL.match(text, _gap(text, label.end(), r"(?:\s*,\s*)?")):
-        at = _gap(text, both.end(), r"\s*\)?\s*[=:]?\s*")
-        if (ra := _angle(text, at, "h")) and (dec := _angle(text, _gap(text, ra[2], r"\s*,?\s*"), "d")):
-            return ra[0], dec[0], dec[1], dec[2]
+Pair = tuple[list[float], list[float], bool, int]
+
+
+def _together(text: str, label: re.Match[str]) -> Pair | None:
+    """Both coordinates after both labels: "RA, Dec = x, y"."""
+    both = _DEC_LABEL.match(text, _gap(text, label.end(), r"(?:\s*,\s*)?"))
+    if both is None:
         return None
+    ra = _angle(text, _gap(text, both.end(), r"\s*\)?\s*[=:]?\s*"), "h")
+    dec = _angle(text, _gap(text, ra[2], r"\s*,?\s*"), "d") if ra else None
+    return (ra[0], dec[0], dec[1], dec[2]) if dec else None
+
+
+def _apart(text: str, label: re.Match[str]) -> Pair | None:
+    """Each coordinate after its label: "RA = x ... Dec = y", at most 40 signs apart."""
     ra = _angle(text, _gap(text, label.end(), r"\s*[=:]?\s*"), "h")
     there = _DEC_LABEL.search(text, ra[2], ra[2] + 60) if ra else None
     if there is None or there.start() - ra[2] > 40:
@@ -68,10 +76,12 @@ def _pair_at(text: str, label: re.Match[str]) -> tuple[list[float], list[float],
 
 
 def find_pair(text: str) -> dict | None:
-    for label in _RA_LABEL.finditer(text):
-        found = _pair_at(text, label)
-        if found and _owned(text, label.start()) and (pair := degrees(*found[:3])):
-            return {"ra": pair[0], "dec": pair[1], "error": None, "names": [], "start": label.start(), "end": found[3]}
+    """The transient's first pair with a label each, as refined positions are given; else the first with both labels before."""
+    for form in (_apart, _together):
+        for label in _RA_LABEL.finditer(text):
+            found = form(text, label)
+            if found and _owned(text, label.start()) and (pair := degrees(*found[:3])):
+                return {"ra": pair[0], "dec": pair[1], "error": None, "names": [], "start": label.start(), "end": found[3]}
     return None
 
 

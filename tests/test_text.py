@@ -151,3 +151,60 @@ def test_spans_hold_on_any_text(text):
     got = extract_text(text[:20], text)
     assert all(text[s["start"] : s["end"]] == s["snippet"] for s in got["provenance"].values())
     assert not re.search("error", " ".join(got["extraction_meta"]["notes"]))
+
+
+def test_refined_position_comes_first():
+    """A pair with a label each stands before one with both labels ahead, wherever it is."""
+    text = "The trigger box is at R.A., Dec. 120.5000, 33.2500 degrees.\nThe source lies at\nR.A. (J2000) = 08h02m30s\nDec. (J2000) = 33d10m12s"
+    got = positions.find_pair(text)
+    assert (got["ra"], got["dec"]) == (pytest.approx(120.625), pytest.approx(33.17))
+    assert positions.find_pair("RA, Dec = 120.5000, 33.2500")["ra"] == 120.5
+    assert positions.find_pair("The field of view is centred at RA = 12.5, Dec = 4.5") is None
+    assert positions.find_pair("The field of view is wide; the calculated position is RA = 12.5, Dec = 4.5")["ra"] == 12.5
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("We imaged it on 2021-03-04_05:06 UT", "2021-03-04T05:06:00Z"),
+        ("Observing began at 2021 March 4 05:06:07 UT", "2021-03-04T05:06:07Z"),
+        ("data were obtained on UT 4 March 2021 05:06", "2021-03-04T05:06:00Z"),
+        ("Observed with the array of the project (PI: A. Writer) on 2021-03-04 at 05:06 UT", "2021-03-04T05:06:00Z"),
+        ("On 2021 Mar 4 UT, while observing galaxies, it was found", "2021-03-04T00:00:00Z"),
+        ("The exposure started at 05:06 UT on March 4th 2021.", "2021-03-04T05:06:00Z"),
+        ("We observed on 2021 Mar 4.25 UT.", "2021-03-04T06:00:00Z"),
+        ("It faded. The catalogue is of 2021-03-04.", None),
+    ],
+)
+def test_stated_epochs(text, want):
+    got = times.stated_epoch(text)
+    assert (got and got[1]) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("The satellite triggered on the flare star AB Xyz.", "UV Ceti"),
+        ("The trigger is likely a stellar flare of a nearby dwarf.", "UV Ceti candidate"),
+        ("It is 3 arcsec from the known flare star AB Xyz.", None),
+        ("The decline is like that of an M-dwarf flare.", None),
+        ("The possibility that it is a stellar flare cannot be ruled out.", None),
+    ],
+)
+def test_flares(text, want):
+    assert classes.flare_class(text) == want
+
+
+def test_classes_in_context():
+    assert classes.find_class("Fu et al. report it") is None and classes.find_class("the transient is Ia") is None
+    assert classes.find_class("a hypernova spectrum")["classification"] == "Ic-BL"
+    assert classes.flash_subtype("to search for a hard X-ray flash") is None
+    assert classes.flash_subtype("either an X-Ray Flash or a hard burst, we conclude it is an X-ray flash") == "XRF candidate"
+
+
+def test_decimal_days_and_fields():
+    assert times.absolute("August 18.85 2017") == times.absolute("18.85 August 2017") == times.absolute("2017-08-18 20:24")
+    assert times.absolute("2017.08.18") == times.absolute("2017-08-18")
+    got = extract_text("GRB 240101A", "r = 18.40 +/- 0.10. z = 1.5", fields=("redshift",))
+    assert got["redshift"]["redshift"] == 1.5 and got["photometry"] == [] and got["event"] is None
+    assert short(tables.photometry("The host galaxy was imaged\n\nr = 18.50. Then g = 19.50.")) == [("g", 19.5, None, None, None)]
