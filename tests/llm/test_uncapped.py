@@ -319,3 +319,17 @@ def test_search_in_blocks_by_size(spark):
     index = positional_index.build_index(frame(spark, rows))
     one, many = (sorted((r.doc_id or -1, r.n_hit, tuple(r["items"])) for r in positional_index.search(index, items, signs=s).collect()) for s in (10**9, 60))
     assert one == many and any(h for _, h, _ in one)
+
+
+def test_both_sides_of_the_broadcast_bounds(spark, monkeypatch):
+    """Beyond a bound the plan is another one, the result the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    few = [(x.doc_id, round(x.score, 9), x.spans) for x in toxicity.score(docs, toxicity.fit(docs, labels)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert few == [(x.doc_id, round(x.score, 9), x.spans) for x in toxicity.score(docs, toxicity.fit(docs, labels)).orderBy("doc_id").collect()]
+    rows = [(i, f"zebra call {i} words bob@corp.example.com", "", "", 0) for i in range(6)] + [(100 + i, f"plain words call {i}", "", "", 0) for i in range(90)]
+    told = lambda: sorted((x.doc_id, [(s.m, s.s) for s in x.added]) for x in pii.find_personal_data(frame(spark, rows)).collect())
+    one = told()
+    monkeypatch.setattr(pii, "BROADCAST_MARKS", 0)
+    assert one == told() and any(a for _, a in one)
