@@ -435,3 +435,13 @@ def test_command_line(tmp_path, capsys, spark, monkeypatch):
     assert cli.main(["eval", str(tmp_path / "p"), str(tmp_path / "p"), str(tmp_path / "report.md")]) == 0
     assert "| redshift | 2 | 0 | 0 |" in (tmp_path / "report.md").read_text()
     assert cli.main(["label-validate", str(source)]) == 0
+
+
+def test_classifier_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, f"{'alpha beta' if i % 2 else 'gamma delta'} common words {i}", str(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, text string, label string")
+    score = lambda: sorted((r.k, r.label, round(r.score, 9)) for r in classify.score(df.unionByName(df.limit(1).select(F.lit(99).alias("k"), F.lit(None).cast("string").alias("text"), "label")), classify.fit(df), "k").collect())
+    one = score()
+    monkeypatch.setattr(classify, "BROADCAST_FEATURES", 0)
+    assert one == score() and len(one) == 82
+    assert [r.rank for r in classify.ranked(df.filter("k < 0"), "k").collect()] == []
