@@ -48,7 +48,7 @@ def _text(x: Any, name: str) -> str:
 
 def _keep(ctx: Context, found: DataFrame) -> DataFrame:
     new = store.rows(found, ctx.clock())
-    ctx.store = store.put(ctx.store, new)
+    ctx.store = events.settled(store.put(ctx.store, new))
     return found
 
 

@@ -1,117 +1,219 @@
-"""Radio flux densities and X-ray energy fluxes."""
+"""Radio flux densities and X-ray energy fluxes, read as marks: numbers, units, frequencies and the words between them."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from .bands import flux_unit, radio_band, row, xray_band
+from .cues import last, phrases
 from .tables import inside, other_objects
 
-# Units, uncertainties and the words that announce a measurement.
-_UNIT = r"(?:microJansky|micro[\s-]?Jy|milliJansky|milliJy|uJy|μJy|µJy|mJy|Jansky|Jy)"
-_PM = r"(?:\+/[-−–�]|±)"
-_N = r"\d+(?:\.\d+)?"
-_UNIT_RE = re.compile(rf"\b{_UNIT}(?:\s*/\s*beam)?|(?<=\d){_UNIT}(?:\s*/\s*beam)?", re.I)
-_FREQ = re.compile(rf"((?:{_N}\s*(?:,\s*|\s+and\s+|\s*&\s*|\s*/\s*))*{_N})\s*(GHz|MHz)", re.I)
-_LIMIT = rf"(?:{_N}\s*[-\s]?sigma\s+(?:upper\s+)?limits?|upper[\s-]?limits?)"
-_ANCHOR = re.compile(rf"(?P<limit>{_LIMIT})|flux\s+densit(?:y|ies)", re.I)
-_SIGMA = re.compile(rf"({_N})\s*[-\s]?sigma", re.I)
-_THAN = re.compile(r"(?:than|compared\s+(?:with|to)|versus|vs\.?)\s+(?:the\s+)?$", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
-_ONE = rf"(?P<op><|>)?\s*~?\s*(?P<v>{_N})(?:\s*{_PM}\s*(?P<e>{_N}))?\s*(?P<u>{_UNIT})(?:\s*/\s*beam)?"
-_LINES = (
-    re.compile(rf"^[ \t]*(?P<f>{_N})\s*(?P<fu>GHz|MHz)\s*[:=]?\s*{_ONE}\s*[.,;]?[ \t]*$", re.I | re.M),
-    re.compile(rf"^[ \t]*{_ONE}\s+at\s+(?P<f>{_N})\s*(?P<fu>GHz|MHz)\s*[.,;]?[ \t]*$", re.I | re.M),
-)
-
-
-def _clauses(text: str) -> list[tuple[int, str]]:
-    cuts = [0, *(m.end() for m in _SENTENCE.finditer(text)), len(text)]
-    return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
-
-
-def _ghz(value: str, unit: str) -> float:
-    return float(value) * (1e-3 if unit.lower() == "mhz" else 1.0)
+#: A mark is a number, an uncertainty sign, a word or a single sign. U+FFFD stands for a sign that was lost.
+_MARK = re.compile(r"(?P<n>\d+(?:\.\d+)?)|(?P<pm>±|\+/[-−–�])|(?P<w>[^\W\d_]+)|(?P<o>[^\w\s])")
+_SCIENTIFIC = re.compile(r"(?<![\w.])(\d+(?:\.\d+)?)(?:\s*(?:e|[x×]\s*10\s*\^?)\s*([-+]?\d+))?(?!\w)", re.I)
+DENSITY = phrases("flux density|densities")
+LIMIT = phrases("upper limit|limits", "upperlimit|upperlimits")
+_LEVEL_LIMIT = re.compile(r"\d+(?:\.\d+)?[\s-]*sigma\s+limits?\b", re.I)
+COMPARED = phrases("than", "than the", "compared with|to", "compared with|to the", "versus", "versus the", "vs", "vs the")
+UNSEEN = phrases("upper limit|limits", "upperlimit|upperlimits", "limit|limits", "not detected", "did not detect", "no significant", "non detection|detections", "nondetection", "no source", "no new source", "no x ray source", "no new x ray source")
+LIST = (",", "&", "/", "and")
+KEV = {"kev": 1.0, "mev": 1e3, "gev": 1e6}
+SIGMA, FAINTEST, BRIGHTEST = 3.0, 1e-20, 1e-2
+
+
+@dataclass
+class Mark:
+    kind: str  # n, pm, w or o; then what a number is: value, error, frequency or sigma; and unit for a unit's word
+    text: str
+    start: int
+    end: int
+    value: float = 0.0
+    error: float | None = None
+
+
+def clauses(text: str) -> Iterator[tuple[int, int]]:
+    """Sentences: an end is a stop before a capital or a bracket."""
+    begin = 0
+    for m in re.finditer(r"[.!?]\s+(?=[A-Z(])", text):
+        yield begin, m.end()
+        begin = m.end()
+    if begin < len(text):
+        yield begin, len(text)
+
+
+def _marks(text: str, begin: int, end: int) -> list[Mark]:
+    """A stretch's marks; numbers have been told apart by what stands beside them."""
+    out = [Mark(m.lastgroup, m[0], m.start(), m.end()) for m in _MARK.finditer(text, begin, end)]
+    for k, m in enumerate(out):  # units first: "micro-Jy" is three marks
+        if m.kind == "w":
+            for size in (3, 2, 1):
+                part = out[k : k + size]
+                if len(part) == size and part[-1].kind == "w" and (size < 3 or part[1].text == "-") and flux_unit("".join(p.text for p in part)):
+                    m.kind, m.text, m.end = "unit", flux_unit("".join(p.text for p in part)), part[-1].end
+                    for p in part[1:]:
+                        p.kind = "gone"
+                    break
+    out = [m for m in out if m.kind != "gone"]
+    at = lambda k: out[k] if 0 <= k < len(out) else Mark("", "", 0, 0)
+    for k in range(len(out) - 1, -1, -1):
+        m, after = out[k], at(k + 1)
+        if m.kind != "n":
+            continue
+        m.value = float(m.text)
+        low = after.text.lower()
+        scale = {"ghz": 1.0, "mhz": 1e-3}.get(low)
+        listed = at(k + 2).kind == "frequency" and low in LIST
+        if scale is not None:
+            m.kind, m.value, m.error = "frequency", m.value * scale, scale
+        elif listed:
+            m.kind, m.value, m.error = "frequency", m.value * at(k + 2).error, at(k + 2).error
+        elif low == "sigma" or (low in ("-", "–") and at(k + 2).text.lower() == "sigma"):
+            m.kind = "sigma"
+        elif after.kind == "pm" and at(k + 2).kind == "value":
+            m.kind, m.error = "value", at(k + 2).value
+            at(k + 2).kind = "error"
+        else:
+            m.kind = "value"
+    return out
+
+
+def _radio(start: int, end: int, m: Mark, unit: str, ghz: float, limit: bool, sigma: float = SIGMA) -> dict:
+    known = {"limiting_flux_density": m.value, "limiting_mag_sigma": sigma} if limit else {"flux_density": m.value, "flux_density_error": m.error}
+    return row(start, end, flux_density_unit=unit, frequency_ghz=ghz, bandpass=radio_band(ghz), **known)
 
 
-def _radio(start: int, end: int, value: float, error: float | None, unit: str, ghz: float, limit: bool, sigma: float) -> dict:
-    known = {"limiting_flux_density": value, "limiting_mag_sigma": sigma} if limit else {"flux_density": value, "flux_density_error": error}
-    return row(start, end, flux_density_unit=unit, frequency_ghz=ghz, bandpass=radio_band(ghz), **known)
+def _anchors(text: str, begin: int, end: int) -> list[tuple[int, int, bool]]:
+    """Where a clause announces flux densities, or limits (upper ones, or at a level): none inside another."""
+    found = [(m.start(), m.end(), cue is not DENSITY) for cue in (LIMIT, _LEVEL_LIMIT, DENSITY) for m in cue.finditer(text, begin, end)]
+    level = re.compile(r"\d+(?:\.\d+)?[\s-]*sigma\s+$", re.I)
+    found = [(begin + head.start() if (head := level.search(text[begin:a])) and limit else a, b, limit) for a, b, limit in found]
+    out: list[tuple[int, int, bool]] = []
+    for a, b, limit in sorted(found):
+        if not out or a >= out[-1][1]:
+            out.append((a, b, limit))
+    return out
 
 
-def _values(part: str) -> list[tuple[float, float | None]]:
-    """Values with their errors, and bare ones, in order; sigma levels are none."""
-    part = _SIGMA.sub(lambda m: " " * len(m[0]), part)
-    pairs = [(m.start(), float(m[1]), float(m[2])) for m in re.finditer(rf"({_N})\s*{_PM}\s*({_N})", part)]
-    rest = re.sub(rf"{_N}\s*{_PM}\s*{_N}", lambda m: " " * len(m[0]), part)
-    bare = [(m.start(), float(m[1]), None) for m in re.finditer(rf"(?<![\d.])({_N})(?![\d.])", rest)]
-    return [(v, e) for _, v, e in (pairs or bare)]
+def _compared(text: str, begin: int, at: int) -> bool:
+    """Whether the words right before a place compare with something else."""
+    cue = last(COMPARED, text, begin, at)
+    return cue is not None and not text[cue.end() : at].strip(" .\n\t")
 
 
 def radio(text: str) -> list[dict]:
     """Clauses with as many values as frequencies, and lines of one measurement, by place."""
     apart, rows = other_objects(text), []
-    for at, clause in _clauses(text):
-        anchors = list(_ANCHOR.finditer(clause))
-        for k, a in enumerate(anchors):
-            end = anchors[k + 1].start() if k + 1 < len(anchors) else len(clause)
-            segment = clause[a.end() : end]
-            units = list(_UNIT_RE.finditer(segment))
-            if inside(at + a.start(), apart) or _THAN.search(clause[: a.start()]) or not units or len({flux_unit(u[0].split("/")[0].strip()) for u in units}) != 1:
+    for begin, end in clauses(text):
+        anchors = _anchors(text, begin, end)
+        for k, (a, b, limit) in enumerate(anchors):
+            stop = anchors[k + 1][0] if k + 1 < len(anchors) else end
+            if inside(a, apart) or _compared(text, begin, a):
                 continue
-            freqs = [(_ghz(n, f[2])) for f in _FREQ.finditer(segment) for n in re.findall(_N, f[1])]
-            if not freqs:
-                freqs = [(_ghz(n, f[2])) for f in _FREQ.finditer(clause[: a.start()]) for n in re.findall(_N, f[1])]
-            head = _FREQ.sub(lambda m: " " * len(m[0]), segment[: units[-1].start()])
-            values = _values(head)
-            if not values or len(values) != len(freqs):
+            marks = [m for m in _marks(text, b, stop) if m.kind != "frequency" or not _compared(text, begin, m.start)]
+            units = [m for m in marks if m.kind == "unit"]
+            if len({u.text for u in units}) != 1:
                 continue
-            sigma = _SIGMA.search(clause[max(0, a.start()) : end])
-            for (v, e), g in zip(values, freqs, strict=True):
-                limit = a["limit"] is not None
-                rows.append(_radio(at + a.start(), at + a.end() + units[-1].end(), v, e, flux_unit(units[-1][0].split("/")[0].strip()), g, limit, float(sigma[1]) if sigma else 3.0))
-    seen = [(r["start"], r["end"]) for r in rows]
-    for form in _LINES:
-        for m in form.finditer(text):
-            if inside(m.start(), apart) or any(m.start() < b and a < m.end() for a, b in seen):
+            ghz = [m.value for m in marks if m.kind == "frequency"] or [m.value for m in _marks(text, begin, a) if m.kind == "frequency"]
+            values = [m for m in marks if m.kind == "value" and m.start < units[-1].start]
+            values = [m for m in values if m.error is not None] or values
+            if not values or len(values) != len(ghz):
                 continue
-            rows.append(_radio(*m.span(), float(m["v"]), float(m["e"]) if m["e"] else None, flux_unit(m["u"]), _ghz(m["f"], m["fu"]), m["op"] is not None, 3.0))
+            level = next((m.value for m in _marks(text, a, stop) if m.kind == "sigma"), SIGMA)
+            rows += [_radio(a, units[-1].end, m, units[-1].text, g, limit, level) for m, g in zip(values, ghz, strict=True)]
+    taken = [(r["start"], r["end"]) for r in rows]
+    for line in re.finditer(r"[^\n]+", text):
+        if (found := _line(text, *line.span())) and not inside(found["start"], apart) and not any(found["start"] < b and a < found["end"] for a, b in taken):
+            rows.append(found)
     return sorted(rows, key=lambda r: r["start"])
 
 
-_E = r"\d+(?:\.\d+)?(?:\s*[eE]\s*[-+]?\d+|\s*[x×]\s*10\s*\^?\s*[-+]?\d+)?"
-_FLUX_UNIT = re.compile(r"erg\s*(?:/|\s)?\s*cm\s*\^?\s*-?\s*2\s*(?:/|\s)?\s*s\s*\^?\s*-?\s*1?|erg\s*/\s*cm\s*\^?\s*2\s*/\s*s", re.I)
-_BAND = re.compile(rf"({_N})\s*[-–]\s*({_N})\s*(keV|MeV|GeV)", re.I)
-_FAINT = re.compile(r"upper[\s-]?limit|\blimits?\b|not\s+detected|did\s+not\s+detect|no\s+significant|non[\s-]?detection|no\s+(?:new\s+)?(?:X-ray\s+)?source", re.I)
-_ERROR = re.compile(rf"\(\s*(?:[+\-±]|\+/-)[^)]*\)|\s*(?:\+/-|±)\s*(?P<e>{_E})", re.I)
-KEV = {"kev": 1.0, "mev": 1e3, "gev": 1e6}
+def _line(text: str, begin: int, end: int) -> dict | None:
+    """A line that is one measurement: a frequency and a value with its unit, or a value with its unit at a frequency."""
+    marks = _marks(text, begin, end)
+    while marks and marks[-1].text in (".", ",", ";"):
+        marks.pop()
+    shape = ["at" if m.text.lower() == "at" else m.kind if m.kind in ("frequency", "value", "unit") else "" if m.text in ("~", ":", "=", "/") or m.text.lower() in ("ghz", "mhz", "beam") or m.kind in ("pm", "error") else m.text for m in marks]
+    limit = any(s in ("<", ">") for s in shape)
+    told = [s for s in shape if s and s not in ("<", ">")]
+    if told not in (["frequency", "value", "unit"], ["value", "unit", "at", "frequency"]):
+        return None
+    by = {m.kind: m for m in marks}
+    return _radio(marks[0].start, marks[-1].end, by["value"], by["unit"].text, by["frequency"].value, limit)
+
+
+def _energy_unit(marks: list[Mark]) -> tuple[int, int] | None:
+    """The place of a unit of energy per area and time: erg, then cm to the 2 and s in either order, signs between."""
+    for k, m in enumerate(marks):
+        if m.text.lower() in ("erg", "ergs"):
+            for order in (["cm", "2", "s"], ["s", "cm", "2"]):
+                wanted, stop = list(order), 0
+                for x in marks[k + 1 : k + 14]:
+                    t = x.text.lower()
+                    if wanted and t == wanted[0]:
+                        wanted.pop(0)
+                    elif t not in ("/", "^", "-") and not (t == "1" and "s" not in wanted):
+                        break
+                    if t in ("cm", "2", "s", "1"):
+                        stop = x.end
+                if not wanted:
+                    return m.start, stop
+    return None
+
+
+def _energy_band(marks: list[Mark]) -> tuple[list[float], int, int] | None:
+    for low, dash, high, unit in zip(marks, marks[1:], marks[2:], marks[3:], strict=False):
+        if dash.text in ("-", "–") and unit.text.lower() in KEV and low.text[0].isdigit() and high.text[0].isdigit():
+            return [float(x.text) * KEV[unit.text.lower()] for x in (low, high)], low.start, unit.end
+    return None
+
+
+#: An uncertainty, the power of ten after one, and a number that has one.
+_UNCERTAIN = re.compile(r"\(\s*(?:\+/-|[+\-±])[^)]*\)|(?:\+/-|±)\s*[\d.]+(?:e[-+]?\d+)?", re.I)
+_POWER = re.compile(r"\s*[x×]\s*10\s*\^?\s*[-+]?\d+")
+_POWERED = re.compile(r"\d\s*(?:e|[x×]\s*10\s*\^?)\s*[-+]?\d+\s*$", re.I)
+
+
+def _blank(text: str, begin: int, end: int) -> str:
+    return text[:begin] + " " * (end - begin) + text[end:]
 
 
-def _float(written: str) -> float:
-    return float(re.sub(r"[x×]10\^?", "e", re.sub(r"\s+", "", written), flags=re.I))
+def _number(m: re.Match[str]) -> float:
+    return float(f"{m[1]}e{m[2] or 0}")
 
 
 def xray(text: str) -> list[dict]:
     """One row per clause that states an energy flux (both per area and per time) in an energy band."""
     rows = []
-    for at, clause in _clauses(text):
-        unit, band = _FLUX_UNIT.search(clause), _BAND.search(clause)
+    for begin, end in clauses(text):
+        marks = _marks(text, begin, end)
+        unit = _energy_unit(marks)
         if unit is None:
             continue
-        before = _BAND.sub(lambda m: " " * len(m[0]), clause[: unit.start()])
-        error = list(_ERROR.finditer(before))
-        plain = _ERROR.sub(lambda m: " " * len(m[0]), before)
-        numbers = list(re.finditer(_E, plain))
+        band, head, error = _energy_band(marks), text[: unit[0]], None
+        if band and band[1] < unit[0]:
+            head = _blank(head, band[1], band[2])
+        for m in _UNCERTAIN.finditer(text, begin, unit[0]):
+            error, stop = (m if m[0][0] != "(" else None), m.end()
+            power = _POWER.match(text, stop)
+            if power and error and _POWERED.search(text[begin : m.start()]):  # each has its own power of ten
+                stop = power.end()
+            head = _blank(head, m.start(), stop)
+        head = re.sub(r"\(\s*([\d.]+)\s*\)", lambda m: f" {m[0][1:-1]} ", head)
+        numbers = list(_SCIENTIFIC.finditer(head, begin))
         if not numbers:
             continue
-        value = _float(numbers[-1][0])
-        if not 1e-20 < abs(value) < 1e-2:
+        value = _number(numbers[-1])
+        if not FAINTEST < abs(value) < BRIGHTEST:
             continue
-        kev = [float(band[k]) * KEV[band[3].lower()] for k in (1, 2)] if band else None
-        span = (at + numbers[-1].start(), at + unit.end())
-        e = _float(error[-1]["e"]) if error and error[-1]["e"] and error[-1].start() > numbers[-1].start() else None
-        e = e * 10 ** int(x[1]) if e is not None and e > value and (x := re.search(r"[eE^]\s*([-+]?\d+)", numbers[-1][0])) else e
-        sigma = _SIGMA.search(clause)
-        known = {"limiting_energy_flux": value, "limiting_mag_sigma": float(sigma[1]) if sigma else 3.0} if _FAINT.search(clause) else {"energy_flux": value, "energy_flux_error": e}
-        rows.append(row(*span, energy_band_kev=kev, bandpass=xray_band(clause, kev) or xray_band(text, kev), **known))
+        size = None
+        if error is not None and error.start() > numbers[-1].start():
+            size = _number(_SCIENTIFIC.search(error[0].lstrip("+/-± ")))
+            size = size * 10.0 ** int(numbers[-1][2] or 0) if size > value else size  # the power of ten counts for both
+        kev = band[0] if band else None
+        clause = text[begin:end]
+        level = next((m.value for m in marks if m.kind == "sigma"), SIGMA)
+        known = {"limiting_energy_flux": value, "limiting_mag_sigma": level} if UNSEEN.search(clause) else {"energy_flux": value, "energy_flux_error": size}
+        rows.append(row(numbers[-1].start(), unit[1], energy_band_kev=kev, bandpass=xray_band(clause, kev) or xray_band(text, kev), **known))
     return rows

@@ -208,3 +208,18 @@ def test_decimal_days_and_fields():
     got = extract_text("GRB 240101A", "r = 18.40 +/- 0.10. z = 1.5", fields=("redshift",))
     assert got["redshift"]["redshift"] == 1.5 and got["photometry"] == [] and got["event"] is None
     assert short(tables.photometry("The host galaxy was imaged\n\nr = 18.50. Then g = 19.50.")) == [("g", 19.5, None, None, None)]
+
+
+def test_flux_marks():
+    got = flux.radio("A source with a flux density of 110+/-20 microJy/beam at 9 GHz.\nWe also give a 5 sigma upper limit of 80 micro-Jy at 5500 MHz.")
+    assert [(r["flux_density"], r["flux_density_error"], r["limiting_flux_density"], r["limiting_mag_sigma"], r["frequency_ghz"]) for r in got] == [(110, 20, None, None, 9.0), (None, None, 80, 5.0, 5.5)]
+    assert [(r["flux_density"], r["frequency_ghz"]) for r in flux.radio("Seen at 5.5, 9 and 17 GHz with flux densities of 3, 2 and 1 mJy.")] == [(3, 5.5), (2, 9.0), (1, 17.0)]
+    for none in ("a flux density of 2 mJy, higher than the 15 GHz one", "The host galaxy has a flux density of 0.2 mJy at 6 GHz.", "limits of 3 mJy at 6 GHz", "flux densities of 1 mJy and 2 uJy at 5 and 6 GHz"):
+        assert flux.radio(none) == []
+    value = lambda text: [(r["energy_flux"], r["energy_flux_error"], r["limiting_energy_flux"]) for r in flux.xray(text)]
+    assert value("a flux of (2.3 +/- 0.4) x 10^-12 erg cm^-2 s^-1 in 0.3-10 keV") == [(2.3e-12, 4e-13, None)]
+    assert value("3.5 x 10^-12 +/- 2.1 x 10^-12 erg/cm2/s") == [(3.5e-12, 2.1e-12, None)]
+    assert value("a flux of 2.6 (+1.1, -0.9) e-14 erg/cm^2/s") == [(2.6e-14, None, None)]
+    assert value("not detected to 2.0 x 10^-14 erg/s/cm2") == [(None, None, 2e-14)]
+    assert value("a fluence of 9e-7 erg/cm^2") == value("a luminosity of 2e44 erg/s") == []
+    assert all(text[r["start"] : r["end"]].endswith("s^-1") for text in ["It has 1e-13 erg cm^-2 s^-1, it seems."] for r in flux.xray(text))
