@@ -20,6 +20,9 @@ COMPARED = phrases("than", "than the", "compared with|to", "compared with|to the
 UNSEEN = phrases("upper limit|limits", "upperlimit|upperlimits", "limit|limits", "not detected", "did not detect", "no significant", "non detection|detections", "nondetection", "no source", "no new source", "no x ray source", "no new x ray source")
 LIST = (",", "&", "/", "and")
 KEV = {"kev": 1.0, "mev": 1e3, "gev": 1e6}
+#: What a unit's first word looks like, and what a text or a line with a radio flux must have.
+_UNIT_WORD = re.compile(r"micro|milli|[mμµu]?jy|jansky", re.I)
+_JANSKY, _HERTZ, _ERG = (re.compile(x, re.I) for x in ("jy|jansky", "[gm]hz", r"\berg"))
 SIGMA, FAINTEST, BRIGHTEST = 3.0, 1e-20, 1e-2
 
 
@@ -47,7 +50,7 @@ def _marks(text: str, begin: int, end: int) -> list[Mark]:
     """A stretch's marks; numbers have been told apart by what stands beside them."""
     out = [Mark(m.lastgroup, m[0], m.start(), m.end()) for m in _MARK.finditer(text, begin, end)]
     for k, m in enumerate(out):  # units first: "micro-Jy" is three marks
-        if m.kind == "w":
+        if m.kind == "w" and _UNIT_WORD.match(m.text):
             for size in (3, 2, 1):
                 part = out[k : k + size]
                 if len(part) == size and part[-1].kind == "w" and (size < 3 or part[1].text == "-") and flux_unit("".join(p.text for p in part)):
@@ -104,9 +107,11 @@ def _compared(text: str, begin: int, at: int) -> bool:
 
 def radio(text: str) -> list[dict]:
     """Clauses with as many values as frequencies, and lines of one measurement, by place."""
+    if not (_JANSKY.search(text) and _HERTZ.search(text)):
+        return []
     apart, rows = other_objects(text), []
     for begin, end in clauses(text):
-        anchors = _anchors(text, begin, end)
+        anchors = _anchors(text, begin, end) if _JANSKY.search(text, begin, end) else []
         for k, (a, b, limit) in enumerate(anchors):
             stop = anchors[k + 1][0] if k + 1 < len(anchors) else end
             if inside(a, apart) or _compared(text, begin, a):
@@ -124,7 +129,7 @@ def radio(text: str) -> list[dict]:
             rows += [_radio(a, units[-1].end, m, units[-1].text, g, limit, level) for m, g in zip(values, ghz, strict=True)]
     taken = [(r["start"], r["end"]) for r in rows]
     for line in re.finditer(r"[^\n]+", text):
-        if (found := _line(text, *line.span())) and not inside(found["start"], apart) and not any(found["start"] < b and a < found["end"] for a, b in taken):
+        if _JANSKY.search(line[0]) and _HERTZ.search(line[0]) and (found := _line(text, *line.span())) and not inside(found["start"], apart) and not any(found["start"] < b and a < found["end"] for a, b in taken):
             rows.append(found)
     return sorted(rows, key=lambda r: r["start"])
 
@@ -186,8 +191,8 @@ def _number(m: re.Match[str]) -> float:
 def xray(text: str) -> list[dict]:
     """One row per clause that states an energy flux (both per area and per time) in an energy band."""
     rows = []
-    for begin, end in clauses(text):
-        marks = _marks(text, begin, end)
+    for begin, end in clauses(text) if _ERG.search(text) else ():
+        marks = _marks(text, begin, end) if _ERG.search(text, begin, end) else []
         unit = _energy_unit(marks)
         if unit is None:
             continue
