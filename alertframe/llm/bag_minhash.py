@@ -282,7 +282,8 @@ def _rest(buckets: DataFrame, comp: DataFrame, texts: DataFrame, threshold: floa
     """Links between texts of buckets that still hold several components; none if there are no such buckets.
 
     Such texts meet where they share one of their rarest shingles, which texts that have only a template in common don't.
-    There the texts outside the main component are dealt to blocks, and what they meet is held against a block at a time.
+    There the texts outside the main component are dealt to blocks, and what they meet is held against a block at a time,
+    in parts of some 2 * block texts.
     """
     now = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     split = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
@@ -292,14 +293,16 @@ def _rest(buckets: DataFrame, comp: DataFrame, texts: DataFrame, threshold: floa
         return None
     rare, _ = write_table(rare_shingles(rows, threshold, k), "rare")
     sizes = rare.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m"))
-    met, _ = write_table(rare.join(sizes.filter("comps > 1").select("key", F.col("m.comp").alias("main")), "key"), "met")
-    outside = met.filter("comp <> main").select("key", "main", "node", "comp")
-    blocks = outside.select("main", "node").distinct().groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).alias("k"))
-    salted = blocks.select("main", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a hot component's rows are spread
+    met, _ = write_table(rare.join(sizes.filter("comps > 1").select("key", F.col("m.comp").alias("main"), F.col("m.c").alias("c")), "key"), "met")
+    outside = met.filter("comp <> main").select("key", "main", "c", "node", "comp")
+    each = outside.groupBy("main", "node").agg(F.max("c").alias("c"))
+    blocks = each.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).alias("k"), F.ceil(F.max("c") / (2 * block)).alias("parts"))
+    salted = blocks.select("main", "k", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a hot component's rows are spread
     dealt = outside.withColumn("salt", F.pmod(F.xxhash64("key", "node"), F.lit(SALTS)).cast("int")).join(salted, ["main", "salt"])
-    dealt, _ = write_table(dealt.select("key", "main", F.pmod(F.xxhash64("node"), F.col("k")).alias("blk"), "node", "comp"), "outside")
-    asked = dealt.select("main", "blk", F.lit(0).alias("role"), "node", "comp").distinct()
-    held = dealt.select("key", "main", "blk").distinct().join(met.select("key", "node", "comp"), "key").select("main", "blk", F.lit(1).alias("role"), "node", "comp").distinct()
+    dealt, _ = write_table(dealt.select("key", "main", F.pmod(F.xxhash64("node"), F.col("k")).alias("blk"), "parts", "node", "comp"), "outside")
+    part = lambda p: F.col("blk") * F.lit(1 << 20) + p  # what a block meets is dealt to parts, if it is much
+    asked = dealt.select("main", "blk", "parts", "node", "comp").distinct().select("main", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), part)).alias("blk"), F.lit(0).alias("role"), "node", "comp")
+    held = dealt.select("key", "main", "blk", "parts").distinct().join(met.select("key", "node", "comp"), "key").select("main", part(F.pmod(F.xxhash64("node"), F.col("parts"))).alias("blk"), F.lit(1).alias("role"), "node", "comp").distinct()
     return block_links(asked.unionByName(held).join(texts, "node").select("main", "blk", "role", "node", "comp", "text"), threshold, k)
 
 

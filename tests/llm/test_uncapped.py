@@ -333,3 +333,42 @@ def test_both_sides_of_the_broadcast_bounds(spark, monkeypatch):
     one = told()
     monkeypatch.setattr(pii, "BROADCAST_MARKS", 0)
     assert one == told() and any(a for _, a in one)
+
+
+def test_leftovers_in_small_blocks_and_parts(spark):
+    """Blocks of two texts and parts of four: every link between components is found, up to what it joins."""
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(30):
+        w = list(base)
+        for k in r.sample(range(5, 115), 2):
+            w[k] = f"n{i}x{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base)] + [" ".join(f"z{r.randint(0, 10**6)}" for _ in range(60)) for _ in range(5)]
+    node = lambda i: i.to_bytes(16, "big")
+    rows = spark.createDataFrame([(node(i), t) for i, t in enumerate(texts)], "node binary, text string")
+    buckets = spark.createDataFrame([(1, node(i)) for i in range(len(texts))], "key long, node binary")
+    comp = spark.createDataFrame([(node(i), node(0)) for i in range(20)], "node binary, comp binary")
+    found = bag_minhash._rest(buckets, comp, rows, 0.8, 5, block=2).collect()
+    root = {i: 0 if i < 20 else i for i in range(len(texts))}
+    whole = dict(root)
+
+    def join(of: dict, a: int, b: int) -> None:
+        x, y = of[a], of[b]
+        for k in of:
+            if of[k] == y:
+                of[k] = x
+
+    for x in found:
+        a, b = int.from_bytes(x.x, "big"), int.from_bytes(x.p, "big")
+        p, q = bag(texts[a]), bag(texts[b])
+        assert abs((p & q).total() / (p | q).total() - x.sim) < 1e-12 and x.sim >= 0.8
+        join(root, a, b)
+    for a in range(len(texts)):
+        for b in range(a):
+            p, q = bag(texts[a]), bag(texts[b])
+            if (p & q).total() >= 0.8 * (p | q).total():
+                join(whole, a, b)
+    groups = lambda of: sorted(sorted(k for k in of if of[k] == v) for v in set(of.values()))
+    assert groups(root) == groups(whole) and len(groups(whole)) == 6
