@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, id_text
+from .common import drop_path, fresh_path, id_text, write_table
 from .kernels import PIECE, pieces, utf8
 from .tokens import encoder, vocab_path
 
@@ -77,14 +77,42 @@ def read_block(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(ids, null, strict=True)], counts, id_of[decode_ranks(control, data, n)]
 
 
-def frequency_ranks(docs: DataFrame, end_id: int, vocab: str) -> np.ndarray:
-    """All ids of the vocabulary by falling frequency, ties by id; the vocabulary bounds what reaches the driver."""
+def _width(vocab: str) -> np.dtype:
+    """Two bytes hold an id of most vocabularies."""
+    return np.dtype("<u2" if encoder(vocab).size <= 1 << 16 else "<u4")
+
+
+def coded(docs: DataFrame, end_id: int, vocab: str) -> DataFrame:
+    """doc_id, h (the text's hash) and ids, as bytes, with the end id; from id_text(). Texts are encoded here, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = encoder(vocab), None
+        enc, width = encoder(vocab), _width(vocab)
         for b in pieces(batches, "text"):
-            found = enc.frequencies(*utf8(b.column(0)))
-            found[end_id] += b.num_rows
+            ids, off = enc.encode(*utf8(b.column(2)))
+            data = np.insert(ids, off[1:], end_id).astype(width)
+            ends = ((off + np.arange(len(off))) * width.itemsize).astype(np.int32)
+            column = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column], names=["doc_id", "h", "ids"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, ids binary")
+
+
+def _stored(column: pa.Array, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of ids, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
+    return raw.view(width), np.diff(off) // width.itemsize
+
+
+def frequency_ranks(codes: DataFrame, vocab: str) -> np.ndarray:
+    """All ids of the vocabulary by falling frequency, ties by id; the vocabulary bounds what reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, total = _width(vocab), None
+        for b in pieces(batches, "ids"):
+            found = np.bincount(_stored(b.column(0), width)[0], minlength=encoder(vocab).size)
             total = found if total is None else total + found
         if total is not None:
             used = np.flatnonzero(total)
@@ -92,19 +120,22 @@ def frequency_ranks(docs: DataFrame, end_id: int, vocab: str) -> np.ndarray:
 
     size = encoder(vocab).size
     counts = np.zeros(size, np.int64)
-    got = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = codes.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return np.argsort(-counts, kind="stable").astype(np.uint32)
 
 
 def write_ids(docs: DataFrame, folder: str, end_id: int = 0, vocab: str | None = None, file_ids: int = 4_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Writes the files and the manifest (folder/manifest, Parquet); returns the manifest."""
+    """Writes the files and the manifest (folder/manifest, Parquet); returns the manifest.
+
+    Ids are kept as a table between counting and writing, so that no text is encoded twice or shuffled.
+    """
     spark, path = docs.sparkSession, vocab or vocab_path()
-    own = id_text(docs, text, key)
-    id_of = frequency_ranks(own, end_id, path)
+    codes, codes_path = write_table(coded(id_text(docs, text, key), end_id, path), "codes")
+    id_of = frequency_ranks(codes, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        width, part, seq = _width(path), TaskContext.get().partitionId(), 0
         fs, root = pafs.FileSystem.from_uri(folder)
         rank_of = np.empty(len(id_of), np.uint32)
         rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
@@ -122,20 +153,19 @@ def write_ids(docs: DataFrame, folder: str, end_id: int = 0, vocab: str | None =
             row = [part, seq, name, len(doc_ids), len(ranks), len(raw)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
-        for b in pieces(batches, "text", min(PIECE, 2 * file_ids)):
-            ids, off = enc.encode(*utf8(b.column(1)))
-            n = np.diff(off)
-            ranks = np.insert(rank_of[ids], off[1:], rank_of[end_id])
+        for b in pieces(batches, "ids", min(PIECE, 2 * file_ids)):
+            ids, n = _stored(b.column(1), width)
             doc_ids += b.column(0).to_pylist()
-            held.append((n + 1, ranks))
+            held.append((n, rank_of[ids]))
             if sum(len(r) for _, r in held) >= file_ids:
                 yield flush()
                 doc_ids, held, seq = [], [], seq + 1
         if held:
             yield flush()
 
-    ordered = own.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    ordered = codes.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    drop_path(spark, codes_path)  # nothing that is still to run reads it
     return spark.read.parquet(f"{folder}/manifest")
 
 
