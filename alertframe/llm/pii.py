@@ -48,8 +48,8 @@ TERM = r"\p{L}++"
 MASK = "\uffff"
 #: How many ways a hot entity's texts are spread.
 SALTS = 16
-#: Up to so many documents' marks (about 100 bytes each) are sent to all tasks.
-BROADCAST_MARKS = 200_000
+#: Up to so many marks, of a document and a term (some 60 bytes each), are sent to all tasks.
+BROADCAST_MARKS = 500_000
 
 
 def running(a: Column, width: int = 16, passes: int = 7) -> Column:
@@ -217,7 +217,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id",
     each = own.select("doc_id", "h", F.explode(spoken(t)).alias("term")).filter(_may_be_in(told, "term"))
     marks = each.join(told, "term").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_set(F.struct("term", "kind")).alias("told"))
     marks, _ = write_table(marks, "marks")
-    few = marks.count() <= BROADCAST_MARKS  # else the marked texts are shuffled
+    few = (marks.agg(F.sum(F.size("told")).alias("n")).first().n or 0) <= BROADCAST_MARKS  # else the marked texts are shuffled
     some = own.filter(_may_be_in(marks.select(F.col("d").alias("doc_id"), F.col("dh").alias("h")), "doc_id", "h"))  # other texts stay where they are
     hit = some.join(F.broadcast(marks) if few else marks, some["doc_id"].eqNullSafe(marks["d"]) & (some["h"] == marks["dh"])).select("d", "dh", "text", F.map_from_entries("told").alias("told"))
     placed = hit.select("d", "dh", marked(t, F.col("told")).alias("added")).groupBy("d", "dh").agg(F.first("added").alias("added"))
