@@ -106,6 +106,30 @@ def _stored(column: pa.Array, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(width), np.diff(off) // width.itemsize
 
 
+def _planes(n: np.ndarray, width: np.dtype) -> np.ndarray:
+    """Where the bytes of rows of n numbers stand if each row has all first bytes, then all second ones, and so on."""
+    first = np.cumsum(n) - n
+    at = np.repeat((width.itemsize - 1) * first, n) + np.arange(int(n.sum()))
+    return at[:, None] + np.repeat(n, n)[:, None] * np.arange(width.itemsize)
+
+
+def in_rank_planes(codes: DataFrame, id_of: np.ndarray, vocab: str) -> DataFrame:
+    """codes with the ids as ranks, byte plane by byte plane: ranks are small, so that a shuffle compresses them well."""
+    sent = codes.sparkSession.sparkContext.broadcast(id_of)  # of the vocabulary's size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, rank_of = _width(vocab), np.empty(len(sent.value), np.uint32)
+        rank_of[sent.value] = np.arange(len(rank_of), dtype=np.uint32)
+        for b in pieces(batches, "ids"):
+            ids, n = _stored(b.column(2), width)
+            out = np.empty(len(ids) * width.itemsize, np.uint8)
+            out[_planes(n, width)] = rank_of[ids].astype(width).view(np.uint8).reshape(-1, width.itemsize)
+            ends = (np.concatenate([[0], np.cumsum(n)]) * width.itemsize).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])], names=["doc_id", "h", "ids"])
+
+    return codes.mapInArrow(run, "doc_id long, h long, ids binary")
+
+
 def frequency_ranks(codes: DataFrame, vocab: str) -> np.ndarray:
     """All ids of the vocabulary by falling frequency, ties by id; the vocabulary bounds what reaches the driver."""
 
@@ -131,14 +155,12 @@ def write_ids(docs: DataFrame, folder: str, end_id: int = 0, vocab: str | None =
     Ids are kept as a table between counting and writing, so that no text is encoded twice or shuffled.
     """
     spark, path = docs.sparkSession, vocab or vocab_path()
-    codes, codes_path = write_table(coded(id_text(docs, text, key), end_id, path), "codes")
+    codes, codes_path = write_table(coded(id_text(docs, text, key), end_id, path), "codes", compression="zstd")
     id_of = frequency_ranks(codes, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, part, seq = _width(path), TaskContext.get().partitionId(), 0
         fs, root = pafs.FileSystem.from_uri(folder)
-        rank_of = np.empty(len(id_of), np.uint32)
-        rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
         doc_ids: list = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -154,16 +176,17 @@ def write_ids(docs: DataFrame, folder: str, end_id: int = 0, vocab: str | None =
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
         for b in pieces(batches, "ids", min(PIECE, 2 * file_ids)):
-            ids, n = _stored(b.column(1), width)
+            raw, n = _stored(b.column(1), width)
+            ranks = raw.view(np.uint8)[_planes(n, width)].reshape(-1).view(width).astype(np.uint32)
             doc_ids += b.column(0).to_pylist()
-            held.append((n, rank_of[ids]))
+            held.append((n, ranks))
             if sum(len(r) for _, r in held) >= file_ids:
                 yield flush()
                 doc_ids, held, seq = [], [], seq + 1
         if held:
             yield flush()
 
-    ordered = codes.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
+    ordered = in_rank_planes(codes, id_of, path).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     drop_path(spark, codes_path)  # nothing that is still to run reads it
     return spark.read.parquet(f"{folder}/manifest")

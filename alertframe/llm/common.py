@@ -51,11 +51,11 @@ def _drop_all() -> None:
             drop_path(spark, path)
 
 
-def write_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def write_table(df: DataFrame, tag: str, **options: str) -> tuple[DataFrame, str]:
     """df as a written table in the shared folder (this cuts its lineage), and the table's path."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
