@@ -11,18 +11,22 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import normal_event
 from . import events, extract, search, store
+from .sky import cone
 from .upsert import event_bridge
 
 
 @dataclass
 class Context:
-    """What tools work on: the bulletins, the store, and which extractor answers."""
+    """What tools work on: the bulletins, the store, and which extractor answers. Without a store, names are kept of all
+    bulletins (circular_id, primary_event, ra, dec), and of those that a call is about the whole records are made."""
 
     spark: SparkSession
     circulars: DataFrame
     store: DataFrame | None = None
     extractor_id: str = "regex"
+    names: DataFrame | None = None
     clock: Callable[[], int] = field(default=lambda: int(datetime.now().timestamp()))
 
 
@@ -52,10 +56,24 @@ def _keep(ctx: Context, found: DataFrame) -> DataFrame:
     return found
 
 
-def _store(ctx: Context) -> DataFrame:
-    if ctx.store is None:
-        ctx.store = events.settled(store.rows(extract.extract(ctx.circulars), 0))  # extracted once for all calls
-    return ctx.store
+def _named(ctx: Context) -> DataFrame:
+    if ctx.names is None:
+        found = extract.extract(ctx.circulars, fields=("event", "localization"))
+        ctx.names = events.settled(store.rows(found, 0).select("circular_id", "primary_event", "ra", "dec"))  # once for all calls
+    return ctx.names
+
+
+def _store(ctx: Context, about: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The store, or in its place the records of the bulletins that are left of all names by about."""
+    if ctx.store is not None and ctx.names is None:
+        return ctx.store
+    ids = about(_named(ctx)).select("circular_id")
+    made = store.rows(extract.extract(ctx.circulars.join(ids, "circular_id", "left_semi")), 0)
+    return made if ctx.store is None else store.put(made, ctx.store)
+
+
+def _of(event: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda names: names.filter(F.col("primary_event") == normal_event(F.lit(event)))
 
 
 @tool
@@ -78,27 +96,28 @@ def extract_text(ctx: Context, body: str, circular_id: int = 0, subject: str = "
 
 @tool
 def get_redshift(ctx: Context, event: str) -> DataFrame:
-    return store.redshift_of(_store(ctx), _text(event, "event"), ctx.extractor_id)
+    return store.redshift_of(_store(ctx, _of(_text(event, "event"))), event, ctx.extractor_id)
 
 
 @tool
 def get_photometry(ctx: Context, event: str) -> DataFrame:
-    return store.photometry_of(_store(ctx), _text(event, "event"), ctx.extractor_id)
+    return store.photometry_of(_store(ctx, _of(_text(event, "event"))), event, ctx.extractor_id)
 
 
 @tool
 def get_classification(ctx: Context, event: str) -> DataFrame:
-    return store.classification_of(_store(ctx), _text(event, "event"), ctx.extractor_id)
+    return store.classification_of(_store(ctx, _of(_text(event, "event"))), event, ctx.extractor_id)
 
 
 @tool
 def find_counterparts(ctx: Context, gw_event_id: str) -> DataFrame:
-    return store.counterparts(_store(ctx), _text(gw_event_id, "gw_event_id"))
+    return store.counterparts(_store(ctx, _of(_text(gw_event_id, "gw_event_id"))), gw_event_id)
 
 
 @tool
 def search_by_position(ctx: Context, ra: float, dec: float, radius_arcsec: float, limit: int = 50) -> DataFrame:
-    return store.by_position(_store(ctx), _number(ra, "ra"), _number(dec, "dec"), _number(radius_arcsec, "radius_arcsec"), int(_number(limit, "limit")))
+    at = _number(ra, "ra"), _number(dec, "dec"), _number(radius_arcsec, "radius_arcsec")
+    return store.by_position(_store(ctx, lambda names: cone(names, *at, limit=None)), *at, int(_number(limit, "limit")))
 
 
 @tool
